@@ -331,7 +331,7 @@ def macro_vector(
     rows = gaps(assembled, ["ts_us", "seq"], limit, largest)
     spread = rows.groupBy(*FLOW).agg(
         *[
-            f(F.when(keep, F.col(gap) / float(SECOND))).alias(f"{name}_{kind}")
+            (f(F.when(keep, F.col(gap))) / float(SECOND)).alias(f"{name}_{kind}")
             for name, gap, keep in (
                 ("all", "gap_us", F.lit(True)),
                 ("fwd", "side_gap_us", F.col("forward")),

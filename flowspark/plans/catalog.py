@@ -1,7 +1,7 @@
 """All named queries, and the SQL of those that SQL can state."""
 
-from flowspark.plans import traffic
+from flowspark.plans import graphs, scoring, threat, traffic
 
-_MODULES = [traffic]
+_MODULES = [traffic, threat, scoring, graphs]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -161,23 +161,25 @@ def flow_payload_entropy(spark, sf):
     return table.select(*v.FLOW_IDENTITY, "payload_bytes", "entropy_class", F.round("payload_entropy", 6).alias("entropy"))
 
 
-def _vector(rows, column, size):
+def _vector(rows, column, size, coarse=()):
+    """One column per number; means and deviations are rounded coarsely, as engines sum in other orders."""
     return rows.select(
-        *v.FLOW_IDENTITY, *[F.round(F.get(F.col(column), F.lit(i)), 7).alias(f"v{i:02d}") for i in range(size)]
+        *v.FLOW_IDENTITY,
+        *[F.round(F.get(F.col(column), F.lit(i)), 2 if i in coarse else 7).alias(f"v{i:02d}") for i in range(size)],
     )
 
 
 def micro_vectors(spark, sf):
     assembled, largest = v.assembled_v(spark, sf)
     micro = flows.micro_vector(assembled, flows.flow_entropy(assembled, largest=largest))
-    return _vector(flows.flow_table(assembled).join(micro, flows.FLOW), "micro", 16)
+    return _vector(flows.flow_table(assembled).join(micro, flows.FLOW), "micro", 16, (1, 3))
 
 
 def macro_vectors(spark, sf):
     assembled, largest = v.assembled_v(spark, sf)
     table = flows.flow_table(assembled)
     macro = flows.macro_vector(assembled, table, largest=largest)
-    return _vector(table.join(macro, flows.FLOW), "macro", 16)
+    return _vector(table.join(macro, flows.FLOW), "macro", 16, range(7, 13))
 
 
 def feature_transform(spark, sf):
@@ -303,7 +305,7 @@ _TOTAL = "greatest(1, v04 + v05 + v06 + v07 + v08)"
 
 
 def _std(gap: str, cond: str) -> str:
-    return f"coalesce(avg({gap} / 1e6) FILTER ({cond}), 0) AS {{m}}, coalesce(stddev_pop({gap} / 1e6) FILTER ({cond}), 0) AS {{s}}"
+    return f"coalesce(avg({gap}) FILTER ({cond}) / 1e6, 0) AS {{m}}, coalesce(stddev_pop({gap}) FILTER ({cond}) / 1e6, 0) AS {{s}}"
 
 
 _SPREAD = (
@@ -385,14 +387,14 @@ ORACLE = {
     "flow_payload_entropy": f"""{_F}, {_BYTES} SELECT {_ID}, coalesce(payload_bytes, 0) AS payload_bytes,
         CASE WHEN entropy IS NULL THEN 'EMPTY' ELSE {_ECLASS} END AS entropy_class, round(coalesce(entropy, 0), 6) AS entropy
         FROM flows_v LEFT JOIN flow_bytes USING (lo, hi, protocol, flow_no)""",
-    "micro_vectors": f"""{_F}, {_BYTES}, {_MICRO} SELECT {_ID}, {", ".join(f"round(v{i:02d}, 7) AS v{i:02d}" for i in range(9))},
+    "micro_vectors": f"""{_F}, {_BYTES}, {_MICRO} SELECT {_ID}, {", ".join(f"round(v{i:02d}, {2 if i in (1, 3) else 7}) AS v{i:02d}" for i in range(9))},
         {", ".join(f"round(v{i - 5:02d} / {_TOTAL}, 7) AS v{i:02d}" for i in range(9, 14))},
         round(v04 / (v05 + 1), 7) AS v14, round(coalesce(entropy, 0), 7) AS v15
         FROM flows_v JOIN micro USING (lo, hi, protocol, flow_no) LEFT JOIN flow_bytes USING (lo, hi, protocol, flow_no)""",
     "macro_vectors": f"""{_F}, {_GAPS}, {_SPREAD}, d AS (SELECT *, greatest(duration_us / 1e6, 1e-6) AS dur FROM flows_v)
         SELECT {_ID}, round(dur, 7) AS v00, CAST(fwd_packets AS DOUBLE) AS v01, CAST(bwd_packets AS DOUBLE) AS v02,
           round(fwd_len_mean, 7) AS v03, round(bwd_len_mean, 7) AS v04, round((fwd_bytes + bwd_bytes) / dur, 7) AS v05,
-          round((fwd_packets + bwd_packets) / dur, 7) AS v06, {", ".join(f"round(v{i:02d}, 7) AS v{i:02d}" for i in range(7, 13))},
+          round((fwd_packets + bwd_packets) / dur, 7) AS v06, {", ".join(f"round(v{i:02d}, 2) AS v{i:02d}" for i in range(7, 13))},
           round(down_up_ratio, 7) AS v13, round(avg_packet_size, 7) AS v14, CAST(fwd_bytes + bwd_bytes AS DOUBLE) AS v15
         FROM d JOIN spread USING (lo, hi, protocol, flow_no)""",
     "feature_transform": f"""{_F}, x AS (SELECT *, bytes_per_s - avg_packet_size AS x FROM flows_v)

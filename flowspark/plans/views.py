@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowspark.operators.flows import assemble_flows, flow_features, largest_conversation
 from flowspark.operators.ordered import ordered
 from flowspark.schemas import FEATURE_COLUMNS
+from flowspark.session import checkpointed
 
 HOUR = 3_600_000_000
 IDLE, ACTIVE = 24 * HOUR, 72 * HOUR
@@ -108,7 +109,8 @@ def assembled_v(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def flows_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow_features(assembled_v(spark, sf_dir)[0])
+    """The flow table, written once: rules and graph operators read it several times."""
+    return checkpointed(flow_features(assembled_v(spark, sf_dir)[0]))
 
 
 # Greedy assembly by walking every conversation packet by packet.

@@ -70,8 +70,11 @@ def compare(spark, con, name, query, sql, sf_dir):
         a, b = bad[0]
         diff = {n: (x, y) for n, x, y in zip(names, a, b) if x != y}
         return f"{len(bad)} of {len(ours)} rows differ, e.g. {diff} in {a}"
-    exact = sum(a != b for a, b in zip(ours, theirs))
-    return f"~ {exact} rows equal only within 1e-6" if exact else None
+    close = [(a, b) for a, b in zip(ours, theirs) if a != b]
+    if not close:
+        return None
+    diff = {n: (x, y) for n, x, y in zip(names, *close[0]) if x != y}
+    return f"~ {len(close)} of {len(ours)} rows equal only within 1e-6, e.g. {diff}"
 
 
 def _near(a, b):
