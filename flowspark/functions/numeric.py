@@ -18,7 +18,10 @@ def _col(value) -> Column:
 
 def signed_log1p(x: Column, clip: float | None = CLIP) -> Column:
     value = F.signum(x) * F.log1p(F.abs(x))
-    return value if clip is None else F.least(F.greatest(value, F.lit(-clip)), F.lit(clip))
+    if clip is None:
+        return value
+    # least and greatest skip NULL, so an unknown value must stay unknown explicitly.
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(-clip)), F.lit(clip)))
 
 
 def signed_expm1(x: Column) -> Column:

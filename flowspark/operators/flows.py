@@ -294,7 +294,7 @@ def handshake(assembled: DataFrame, flows: DataFrame, variant: str = "sorted") -
     return flows.join(done, FLOW, "left").select(
         *flows.columns,
         F.col("_ack_ts").isNotNull().alias("handshake_complete"),
-        F.greatest(F.col("_ack_ts") - F.col("_syn_ts"), F.lit(0)).alias("handshake_latency_us"),
+        F.when(F.col("_ack_ts").isNotNull(), F.greatest(F.col("_ack_ts") - F.col("_syn_ts"), F.lit(0))).alias("handshake_latency_us"),
     )
 
 

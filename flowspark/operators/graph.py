@@ -210,7 +210,7 @@ def last_message(flows: DataFrame, order: list[str], ts: str, limit: int = ROWS_
     rows = ordered(ends, ["ip"], [*order, "side"], limit).lag(_prev="_ts", _prev_other="other_ip").done()
     since = (F.col("_ts") - F.col("_prev")) / 1e6
     return rows.select(
-        "ip", "side", *order, F.col("_prev").alias("last_us"), F.col("_prev_other").alias("last_peer"), signed_log1p(since).alias("log_dt")
+        "ip", "side", *order, F.col("_prev").alias("previous_us"), F.col("_prev_other").alias("last_peer"), signed_log1p(since).alias("log_dt")
     )
 
 

@@ -122,17 +122,16 @@ def last_neighbors(spark, sf):
 
 def last_messages(spark, sf):
     rows = graph.last_message(v.flows_v(spark, sf), ORDER, "last_us")
-    return rows.select("ip", "side", *v.FLOW_IDENTITY, F.col("last_us").alias("previous_us"), "last_peer", F.round("log_dt", 6).alias("log_dt"))
+    return rows.select("ip", "side", *v.FLOW_IDENTITY, "previous_us", "last_peer", F.round("log_dt", 6).alias("log_dt"))
 
 
-def new_endpoints_per_day(spark, sf):
-    """Endpoints first seen on the final day."""
+def endpoints_after_first_day(spark, sf):
+    """Endpoints of later flows that the first day did not know."""
     flows = v.flows_v(spark, sf).withColumn("day", F.floor(F.col("start_us") / (24 * v.HOUR)))
-    last = flows.agg(F.max("day").alias("_last"))
-    tagged = flows.crossJoin(F.broadcast(last))  # one row
-    recent, earlier = tagged.where("day = _last"), tagged.where("day < _last")
-    known = graph.endpoints(earlier, []).select("ip").distinct()
-    return graph.new_endpoints(recent, known)
+    first = flows.agg(F.min("day").alias("_first"))
+    tagged = flows.crossJoin(F.broadcast(first))  # one row
+    known = graph.endpoints(tagged.where("day = _first"), []).select("ip").distinct()
+    return graph.new_endpoints(tagged.where("day > _first"), known)
 
 
 def distinct_endpoints(spark, sf):
@@ -163,7 +162,7 @@ QUERIES = {
         cold_start_unseen,
         last_neighbors,
         last_messages,
-        new_endpoints_per_day,
+        endpoints_after_first_day,
         distinct_endpoints,
     )
 }
@@ -249,8 +248,8 @@ ORACLE = {
     "last_messages": f"""{_F}, {ENDS}, m AS (SELECT *, lag(last_us) OVER (PARTITION BY ip ORDER BY {_O}, side) AS previous_us,
           lag(other_ip) OVER (PARTITION BY ip ORDER BY {_O}, side) AS last_peer FROM ends)
         SELECT ip, side, {_ID}, previous_us, last_peer, round(ln(1 + (last_us - previous_us) / 1e6), 6) AS log_dt FROM m""",
-    "new_endpoints_per_day": f"""{_F}, e AS (SELECT src_ip AS ip, start_us // {_D} AS d FROM flows_v UNION ALL SELECT dst_ip, start_us // {_D} FROM flows_v)
-        SELECT ip FROM e GROUP BY 1 HAVING min(d) = (SELECT max(d) FROM e)""",
+    "endpoints_after_first_day": f"""{_F}, e AS (SELECT src_ip AS ip, start_us // {_D} AS d FROM flows_v UNION ALL SELECT dst_ip, start_us // {_D} FROM flows_v)
+        SELECT ip FROM e GROUP BY 1 HAVING min(d) > (SELECT min(d) FROM e)""",
     "distinct_endpoints": f"""WITH {v.PACKETS}, e AS (SELECT protocol, 0 AS side, src_ip AS ip, src_port AS port FROM packets_v
           UNION ALL SELECT protocol, 1, dst_ip, dst_port FROM packets_v)
         SELECT protocol, side, count(DISTINCT ip) AS hosts, count(DISTINCT port) AS ports, count(DISTINCT (ip, port)) AS services FROM e GROUP BY 1, 2""",

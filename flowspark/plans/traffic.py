@@ -376,10 +376,8 @@ ORACLE = {
           round(coalesce(b, 0), 6) AS bwd_iat_mean_us, round(CASE WHEN fwd_packets > 0 THEN bwd_packets / fwd_packets ELSE 0 END, 6) AS down_up_ratio
         FROM flows_v JOIN m USING (lo, hi, protocol, flow_no)""",
     "flow_handshake": f"""{_F}, {_completed("(tcp_flags & 18) = 16")} SELECT {_ID}, syn_count, syn_ack_count,
-        ack_ts IS NOT NULL AS handshake_complete, greatest(ack_ts - syn_ts, 0) AS handshake_latency_us
-        FROM flows_v JOIN opened USING (lo, hi, protocol, flow_no) LEFT JOIN completed USING (lo, hi, protocol, flow_no)""".replace(
-        "greatest(ack_ts - syn_ts, 0)", "CASE WHEN ack_ts IS NOT NULL THEN greatest(ack_ts - syn_ts, 0) ELSE 0 END"
-    ),
+        ack_ts IS NOT NULL AS handshake_complete, CASE WHEN ack_ts IS NOT NULL THEN greatest(ack_ts - syn_ts, 0) END AS handshake_latency_us
+        FROM flows_v JOIN opened USING (lo, hi, protocol, flow_no) LEFT JOIN completed USING (lo, hi, protocol, flow_no)""",
     "flow_handshake_arrival": f"""{_F}, {_completed("(tcp_flags & 16) <> 0")} SELECT {_ID}, syn_count,
         ack_ts IS NOT NULL AS handshake_complete, rst_count > 0 AS rst_seen
         FROM flows_v LEFT JOIN completed USING (lo, hi, protocol, flow_no)""",
