@@ -15,6 +15,19 @@ from flowspark.schemas import FEATURE_COLUMNS, FEATURES, SPLITS
 
 CORRUPT = "_corrupt"
 
+# Spark reads ISO-8859-1 but not Windows-1252; the two differ in bytes 0x80-0x9F only.
+_C1 = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_C1 = {k: x for k, x in _C1.items() if x}
+_CP1252 = ("".join(_C1), "".join(_C1.values()))
+
+
+def _spark_encoding(encoding: str) -> str:
+    return "iso-8859-1" if encoding.lower() in ("windows-1252", "cp1252") else encoding
+
+
+def _decoded(column: Column, encoding: str) -> Column:
+    return F.translate(column, *_CP1252) if _spark_encoding(encoding) != encoding else column
+
 # Accepted header spellings of every feature, in feature order.
 ALIASES = [
     ["Flow Duration", "FlowDuration"],
@@ -59,7 +72,8 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list
     if encoding.upper() in ("UTF-8", "UTF8"):
         line = spark.read.text(path).first()
     else:
-        line = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "").csv(path).first()
+        lines = spark.read.schema("value string").option("encoding", _spark_encoding(encoding)).option("sep", "\u0001")
+        line = lines.option("quote", "").csv(path).select(_decoded(F.col("value"), encoding)).first()
     if line is None:
         raise ValueError(f"empty file: {path}")
     return next(csv.reader([line[0].lstrip("﻿")]))
@@ -100,11 +114,15 @@ def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[
     headers = read_header(spark, path, encoding)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))]
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding)
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", _spark_encoding(encoding))
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     # Width checks need every token, so pruning is off for the parser of these rows.
     rows = reader.option("columnPruning", False).option("nullValue", "\u0001").option("emptyValue", "").csv(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")), headers
+    texts = [_decoded(F.col(f.name), encoding).alias(f.name) for f in fields]
+    # The check needs every column parsed whatever a caller selects.
+    everything = F.length(F.concat_ws("", *[f.name for f in fields])) >= 0
+    texts.append(F.when(everything, _decoded(F.col(CORRUPT), encoding)).alias(CORRUPT))
+    return rows.select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")), headers
 
 
 def with_record_numbers(rows: DataFrame) -> DataFrame:
