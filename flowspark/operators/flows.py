@@ -2,15 +2,16 @@
 
 A conversation is an unordered endpoint pair plus protocol.  Its packets are cut where
 the gap reaches the idle timeout or after an RST: neither needs state, only the previous
-packet.  Most resulting segments are one flow.  Only a segment that lasts the active
-timeout, or holds a FIN from both sides, needs the greedy cut of :func:`cut_segments`.
+packet.  A segment shorter than the active timeout is one flow, or two when packets follow
+the FINs of both sides; plain window facts decide that.  Only a segment that lasts longer,
+or closes by FINs twice, needs the greedy cut of :func:`cut_segments`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,37 +98,44 @@ def assemble_flows(
     """Packets with ``segment`` and ``part``; (conversation, segment, part) is a flow."""
     if largest is None:
         largest = largest_conversation(packets)
-    rows = _segmented(packets, idle_us, True, limit, largest).done()
-    fin = tcp_flag(F.col("tcp_flags"), "FIN") & (F.col("protocol") == "tcp")
-    rows = rows.withColumn("_fin", fin)
+    rows = _segmented(packets, idle_us, True, limit, largest)
     segment = [*CONVERSATION, "segment"]
-    summary = rows.groupBy(*segment).agg(
-        F.count(F.lit(1)).alias("_n"),
-        (F.max("ts_us") - F.min("ts_us")).alias("_span"),
-        F.bool_or(F.col("_fin") & F.col("from_lo")).alias("_fin_lo"),
-        F.bool_or(F.col("_fin") & ~F.col("from_lo")).alias("_fin_hi"),
-    )
-    greedy = (F.col("_span") >= active_us) | (F.col("_fin_lo") & F.col("_fin_hi"))
-    marks = summary.where(greedy).select(*segment, (F.col("_n") > limit).alias("_long"))
-    marked = rows.join(marks, segment, "left")
-    plain = marked.where("_long IS NULL").drop("_long", "_fin").withColumn("part", F.lit(0).cast("bigint"))
-    work = marked.where("_long = false").drop("_long")
+    fin = tcp_flag(F.col("tcp_flags"), "FIN") & (F.col("protocol") == "tcp")
+    at, lo = F.struct("ts_us", "seq"), F.col("from_lo")
+    facts = {
+        "_n": F.count(F.lit(1)),
+        "_span": F.max("ts_us") - F.min("ts_us"),
+        "_first_lo": F.min(F.when(fin & lo, at)),
+        "_first_hi": F.min(F.when(fin & ~lo, at)),
+        "_last_lo": F.max(F.when(fin & lo, at)),
+        "_last_hi": F.max(F.when(fin & ~lo, at)),
+    }
+    if rows.sliced:
+        summary = rows.done().groupBy(*segment).agg(*[c.alias(n) for n, c in facts.items()])
+        marked = rows.done().join(summary, segment)
+    else:
+        # Already partitioned by conversation: a sort, but no shuffle, and bounded segments.
+        whole = Window.partitionBy(*segment)
+        span = F.max("ts_us").over(whole) - F.min("ts_us").over(whole)
+        over = {n: c.over(whole) for n, c in facts.items() if n != "_span"} | {"_span": span}
+        marked = rows.df.select("*", *[c.alias(n) for n, c in over.items()])
+    both = F.col("_first_lo").isNotNull() & F.col("_first_hi").isNotNull()
+    marked = marked.withColumn("_close", F.when(both, F.greatest("_first_lo", "_first_hi")))
+    again = F.coalesce((F.col("_last_lo") > F.col("_close")) & (F.col("_last_hi") > F.col("_close")), F.lit(False))
+    greedy = (F.col("_span") >= active_us) | again
+    part = F.when(F.col("_close").isNotNull() & (at > F.col("_close")), 1).otherwise(0).cast("bigint")
+    helpers = [*facts, "_close"]
+    plain = marked.where(~greedy).withColumn("part", part).drop(*helpers)
+    work = marked.where(greedy & (F.col("_n") <= limit)).withColumn("_fin", fin).drop(*helpers)
     schema = T.StructType([f for f in work.schema if f.name != "_fin"] + [T.StructField("part", T.LongType())])
-    cut = work.groupBy(*segment).applyInPandas(cut_segments(active_us), schema)
-    out = plain.unionByName(cut)
-    if largest > limit and not marks.where("_long").isEmpty():
-        huge = marked.where("_long").drop("_long")
-        out = out.unionByName(cut_long_segments(huge, segment, active_us, limit))
+    out = plain.unionByName(work.groupBy(*segment).applyInPandas(cut_segments(active_us), schema))
+    if rows.sliced:
+        huge = marked.where(greedy & (F.col("_n") > limit)).withColumn("_fin", fin).drop(*helpers)
+        if not huge.isEmpty():
+            out = out.unionByName(cut_long_segments(huge, segment, active_us, limit))
     return out
 
 
-def with_direction(assembled: DataFrame) -> DataFrame:
-    """Add ``forward``: sent by the endpoint that sent the flow's first packet."""
-    first = assembled.groupBy(*FLOW).agg(F.min_by("from_lo", F.struct("ts_us", "seq")).alias("_first_lo"))
-    joined = assembled.join(first, FLOW)
-    return joined.withColumn("forward", F.col("from_lo") == F.col("_first_lo")).drop("_first_lo")
-
-
 def _rate(amount: Column) -> Column:
     seconds = F.col("duration_us") / F.lit(float(SECOND))
     return F.when(F.col("duration_us") > 0, amount / seconds).otherwise(F.lit(0.0))
@@ -240,11 +248,11 @@ def with_features(flows: DataFrame, variant: str = "sorted") -> DataFrame:
 def gaps(
     assembled: DataFrame, order: list[str], limit: int = ROWS_PER_TASK, largest: int | None = None
 ) -> DataFrame:
-    """Directed packets with ``gap_us`` to the previous packet of the flow and ``side_gap_us``
-    to the previous one of the same side, in the given order."""
-    directed = with_direction(assembled)
-    rows = ordered(directed, FLOW, order, limit, largest).lag(_prev="ts_us")
-    whole = rows.with_column("gap_us", F.col("ts_us") - F.col("_prev")).done().drop("_prev")
+    """Packets with ``forward`` (sent by the endpoint that opened the flow), ``gap_us`` to the
+    previous packet of the flow and ``side_gap_us`` to the previous one of the same side."""
+    rows = ordered(assembled, FLOW, order, limit, largest).lag(_prev="ts_us").running(_opener=("first", "from_lo"))
+    rows = rows.with_column("gap_us", F.col("ts_us") - F.col("_prev"))
+    whole = rows.with_column("forward", F.col("from_lo") == F.col("_opener")).done().drop("_prev", "_opener")
     sides = ordered(whole, [*FLOW, "forward"], order, limit, largest)
     return sides.lag(_prev="ts_us").with_column("side_gap_us", F.col("ts_us") - F.col("_prev")).done().drop("_prev")
 

@@ -80,7 +80,8 @@ class Ordered:
     def running(self, **columns: tuple[str, Column | str]) -> "Ordered":
         """Running value including the current row: ``running(total=("sum", "bytes"))``.
 
-        Kinds: ``sum``, ``min``, ``max`` and ``last`` (latest non-null value).
+        Kinds: ``sum``, ``min``, ``max``, ``first`` and ``last`` (earliest and latest
+        non-null value).
         """
         specs = {n: (k, F.col(c) if isinstance(c, str) else c) for n, (k, c) in columns.items()}
         window = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -89,8 +90,9 @@ class Ordered:
             return self._with(self.df.select("*", *[_finish(specs[n][0], c, None).alias(n) for n, c in local.items()]))
         totals, combine = {}, {}
         for name, (kind, column) in specs.items():
-            if kind == "last":
-                totals[name] = F.max_by(column, F.when(column.isNotNull(), F.struct(*self.order)))
+            if kind in ("first", "last"):
+                pick = F.min_by if kind == "first" else F.max_by
+                totals[name] = pick(column, F.when(column.isNotNull(), F.struct(*self.order)))
             else:
                 totals[name] = _AGG[kind](column)
             combine[name] = _AGG[kind]
@@ -108,6 +110,7 @@ _AGG = {
     "sum": F.sum,
     "min": F.min,
     "max": F.max,
+    "first": lambda c: F.first(c, ignorenulls=True),
     "last": lambda c: F.last(c, ignorenulls=True),
 }
 
@@ -121,6 +124,8 @@ def _finish(kind: str, local: Column, carry: Column | None) -> Column:
         return F.least(carry, local)
     if kind == "max":
         return F.greatest(carry, local)
+    if kind == "first":
+        return F.coalesce(carry, local)
     return F.coalesce(local, carry)
 
 

@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def packets_of(events: DataFrame) -> DataFrame:
     """The packet view of an ``events`` frame, batch or streaming."""
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    user = F.col("user_id")
+    events = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    k, user = F.col("k"), F.col("user_id")
     host_ip = F.concat_ws(".", F.lit("10.0"), F.floor(user / 50).cast("string"), (user % 50 + 1).cast("string"))
     base = events.select(
         F.col("event_id").alias("seq"),
