@@ -65,8 +65,9 @@ def stream_port_scan(spark, sf):
 
 
 def stream_block_register(spark, sf):
-    hits = threat._hits(spark, sf).withColumn("hit", F.lit(True))
-    lifts = threat._unblocks(spark, sf).withColumn("hit", F.lit(False))
+    flows = v.flows_v(spark, sf)
+    hits = threat._hits(spark, sf, flows).withColumn("hit", F.lit(True))
+    lifts = threat._unblocks(flows).withColumn("hit", F.lit(False))
     end = spark.createDataFrame([("", FAR_FUTURE, False)], hits.schema)
     path = _landed(spark, hits.unionByName(lifts).unionByName(end), "block-events")
     stream = source.stream_packets(spark, path, hits.schema)

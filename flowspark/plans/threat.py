@@ -10,17 +10,18 @@ from flowspark.operators import respond as rs
 from flowspark.operators import rules
 from flowspark.plans import views as v
 from flowspark.schemas import STAGES
-from flowspark.session import checkpointed
+from flowspark.session import materialized
 
 TTL = 6 * v.HOUR
 
 
-def _ruled(spark, sf):
-    return rules.evaluate_rules(v.flows_v(spark, sf), v.SCAN_WINDOW, v.SCAN_PORTS)
+def _ruled(spark, sf, flows=None):
+    flows = v.flows_v(spark, sf) if flows is None else flows
+    return rules.evaluate_rules(flows, v.SCAN_WINDOW, v.SCAN_PORTS)
 
 
-def _fused(spark, sf):
-    return checkpointed(rules.fuse(v.model_scored(_ruled(spark, sf))))
+def _fused(spark, sf, flows=None):
+    return materialized(rules.fuse(v.model_scored(_ruled(spark, sf, flows))), "fused")
 
 
 def _incidents(spark, sf):
@@ -29,15 +30,14 @@ def _incidents(spark, sf):
     return rs.number_incidents(acted, ["ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"])
 
 
-def _hits(spark, sf):
-    blocked = rs.respond(_fused(spark, sf)).where("action = 'BLOCK_IP'")
+def _hits(spark, sf, flows=None):
+    blocked = rs.respond(_fused(spark, sf, flows)).where("action = 'BLOCK_IP'")
     return blocked.select(F.col("src_ip").alias("ip"), F.col("start_us").alias("ts_us"))
 
 
-def _unblocks(spark, sf):
+def _unblocks(flows):
     """Manual unblocks: a host is released when it is seen resetting a flow of its own."""
-    table = v.flows_v(spark, sf).where("rst_count > 0")
-    return table.select(F.col("src_ip").alias("ip"), F.col("last_us").alias("ts_us")).distinct()
+    return flows.where("rst_count > 0").select(F.col("src_ip").alias("ip"), F.col("last_us").alias("ts_us")).distinct()
 
 
 def port_scan_rule(spark, sf):
@@ -78,7 +78,7 @@ def hybrid_fusion(spark, sf):
 
 
 def evidence_boost(spark, sf):
-    assembled, largest = v.assembled_v(spark, sf)
+    assembled, largest = v.assembled_v(spark, sf, keep=True)
     rows = fl.flow_table(assembled).join(fl.flow_entropy(assembled, largest=largest), fl.FLOW)
     boosted = rules.apply_evidence_boost(v.model_scored(rows))
     return boosted.select(*v.FLOW_IDENTITY, "heuristic_p", "attack_p", "stage", "stage_name")
@@ -112,13 +112,15 @@ def latest_incidents(spark, sf):
 
 
 def block_register(spark, sf):
-    return rs.block_intervals(_hits(spark, sf), _unblocks(spark, sf), TTL)
+    flows = v.flows_v(spark, sf)
+    return rs.block_intervals(_hits(spark, sf, flows), _unblocks(flows), TTL)
 
 
 def blocked_flows(spark, sf):
     """Flows that start while their source is blocked."""
-    blocks = rs.block_intervals(_hits(spark, sf), None, TTL)
-    probes = v.flows_v(spark, sf).select(
+    flows = v.flows_v(spark, sf)
+    blocks = rs.block_intervals(_hits(spark, sf, flows), None, TTL)
+    probes = flows.select(
         F.concat_ws("|", *v.FLOW_IDENTITY).alias("probe_id"), F.col("src_ip").alias("ip"), F.col("start_us").alias("ts_us")
     )
     # Intervals are for the source's earlier hits; the probe's own hit opens at its own time.
@@ -171,9 +173,9 @@ def stage_names(spark, sf):
 def cycle_totals(spark, sf):
     """Flows, alerts and blocks per window."""
     cycle = F.floor(F.col("start_us") / v.WINDOW).alias("cycle")
-    fused = _fused(spark, sf).withColumn("cycle", F.floor(F.col("start_us") / v.WINDOW))
-    flows = v.flows_v(spark, sf).select(cycle)
-    return rs.cycle_summary(flows, rs.respond(fused), ["cycle"])
+    flows = v.flows_v(spark, sf)
+    fused = _fused(spark, sf, flows).withColumn("cycle", F.floor(F.col("start_us") / v.WINDOW))
+    return rs.cycle_summary(flows.select(cycle), rs.respond(fused), ["cycle"])
 
 
 QUERIES = {

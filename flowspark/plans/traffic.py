@@ -129,21 +129,21 @@ def flow_statistics(spark, sf):
 
 def flow_statistics_arrival(spark, sf):
     """Service variant: arrival-order gaps, ratio 0 without forward packets."""
-    assembled, largest = v.assembled_v(spark, sf)
+    assembled, largest = v.assembled_v(spark, sf, keep=True)
     table = flows.flow_features(assembled, "arrival", largest=largest)
     names = ["iat_mean_us", "fwd_iat_mean_us", "bwd_iat_mean_us", "down_up_ratio"]
     return v.rounded(table.select(*v.FLOW_IDENTITY, *names), names)
 
 
 def flow_handshake(spark, sf):
-    assembled, _ = v.assembled_v(spark, sf)
+    assembled, _ = v.assembled_v(spark, sf, keep=True)
     rows = flows.handshake(assembled, flows.flow_table(assembled))
     return rows.select(*v.FLOW_IDENTITY, "syn_count", "syn_ack_count", "handshake_complete", "handshake_latency_us")
 
 
 def flow_handshake_arrival(spark, sf):
     """Service variant: any forward packet with ACK completes, RST is reported."""
-    assembled, _ = v.assembled_v(spark, sf)
+    assembled, _ = v.assembled_v(spark, sf, keep=True)
     rows = flows.handshake(assembled, flows.flow_table(assembled), "arrival")
     return rows.select(*v.FLOW_IDENTITY, "syn_count", "handshake_complete", (F.col("rst_count") > 0).alias("rst_seen"))
 
@@ -155,7 +155,7 @@ def inter_arrival(spark, sf):
 
 
 def flow_payload_entropy(spark, sf):
-    assembled, largest = v.assembled_v(spark, sf)
+    assembled, largest = v.assembled_v(spark, sf, keep=True)
     entropy = flows.flow_entropy(assembled, largest=largest)
     table = flows.flow_table(assembled).join(entropy, flows.FLOW)
     return table.select(*v.FLOW_IDENTITY, "payload_bytes", "entropy_class", F.round("payload_entropy", 6).alias("entropy"))
@@ -170,13 +170,13 @@ def _vector(rows, column, size, coarse=()):
 
 
 def micro_vectors(spark, sf):
-    assembled, largest = v.assembled_v(spark, sf)
+    assembled, largest = v.assembled_v(spark, sf, keep=True)
     micro = flows.micro_vector(assembled, flows.flow_entropy(assembled, largest=largest))
     return _vector(flows.flow_table(assembled).join(micro, flows.FLOW), "micro", 16, (1, 3))
 
 
 def macro_vectors(spark, sf):
-    assembled, largest = v.assembled_v(spark, sf)
+    assembled, largest = v.assembled_v(spark, sf, keep=True)
     table = flows.flow_table(assembled)
     macro = flows.macro_vector(assembled, table, largest=largest)
     return _vector(table.join(macro, flows.FLOW), "macro", 16, range(7, 13))
@@ -211,7 +211,7 @@ def flow_validation(spark, sf):
 
 
 def run_counters(spark, sf):
-    assembled, _ = v.assembled_v(spark, sf)
+    assembled, _ = v.assembled_v(spark, sf, keep=True)
     table = flows.flow_table(assembled)
     packets = assembled.agg(F.count(F.lit(1)).alias("packets"))
     totals = table.agg(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowspark.operators.flows import assemble_flows, flow_features, largest_conversation
 from flowspark.operators.ordered import ordered
 from flowspark.schemas import FEATURE_COLUMNS
-from flowspark.session import checkpointed
+from flowspark.session import materialized
 
 HOUR = 3_600_000_000
 IDLE, ACTIVE = 24 * HOUR, 72 * HOUR
@@ -101,16 +101,20 @@ def packets_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of(table(spark, sf_dir, "events"))
 
 
-def assembled_v(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Packets cut into flows, and the size of the busiest conversation."""
+def assembled_v(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, int]:
+    """Packets cut into flows, and the size of the busiest conversation.
+
+    ``keep`` writes them once, for queries that go over them more than once.
+    """
     packets = packets_v(spark, sf_dir)
     largest = largest_conversation(packets)
-    return assemble_flows(packets, IDLE, ACTIVE, largest=largest), largest
+    cut = assemble_flows(packets, IDLE, ACTIVE, largest=largest)
+    return (materialized(cut, "assembled") if keep else cut), largest
 
 
 def flows_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow table, written once: rules and graph operators read it several times."""
-    return checkpointed(flow_features(assembled_v(spark, sf_dir)[0]))
+    return materialized(flow_features(assembled_v(spark, sf_dir)[0]), "flows")
 
 
 # Greedy assembly by walking every conversation packet by packet.

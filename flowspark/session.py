@@ -59,3 +59,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and cuts the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a columnar table in the shared folder and read it back.
+
+    For results that several operators read: each later scan prunes to its own columns.
+    """
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,7 +47,8 @@ class FlowAssembler(StatefulProcessor):
         pass
 
     def _load(self) -> dict | None:
-        return dict(zip(NAMES, self.open.get())) if self.open.exists() else None
+        values = self.open.get()
+        return dict(zip(NAMES, values)) if values is not None else None
 
     def _row(self, key, flow: dict) -> dict:
         lo, hi = (key[0], key[1]), (key[2], key[3])
@@ -124,7 +125,8 @@ class FlowAssembler(StatefulProcessor):
         if before >= 0:
             self.handle.deleteTimer(before)
         if flow is None:
-            self.open.clear()
+            if before >= 0:
+                self.open.clear()
             return
         due = min(flow["last"] + self.idle_us, flow["start"] + self.active_us)
         flow["timer"] = -(-due // 1000)

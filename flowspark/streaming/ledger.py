@@ -15,7 +15,7 @@ LEAVES = "batch_id bigint, pos bigint, leaf string"
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select(*[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def read_leaves(spark: SparkSession, path: str) -> DataFrame:
