@@ -52,7 +52,11 @@ class PortScan(StatefulProcessor):
                 tail += 1
             counts[now] = len(held)
         keep = t >= frame["start_us"].iloc[-1] - self.window_us
-        self.touches.put([(int(a), int(b)) for a, b in zip(t[keep], port[keep])])
+        kept = [(int(a), int(b)) for a, b in zip(t[keep], port[keep])]
+        if kept:
+            self.touches.put(kept)
+        else:
+            self.touches.clear()
         seen = frame["start_us"].map(counts).where(frame["dst_port"] > 0, 0).astype("int64")
         out = frame[["dst_ip", "src_port", "dst_port", "protocol", "start_us"]].assign(src_ip=key[0], scan_ports=seen)
         yield out.assign(port_scan=(out["dst_port"] > 0) & (seen >= self.ports))
