@@ -12,19 +12,39 @@ from flowspark.operators.ordered import ROWS_PER_TASK, ordered
 RTOL = ATOL = 0.01
 
 
+def exact_medians(df: DataFrame, keys: list[str], features: list[str], limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Exact median of every feature per group, from counts of distinct values.
+
+    A running count over distinct values finds the middle ranks, so no task holds a group.
+    """
+    names = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    flat = df.select(*keys, F.explode(names).alias("_x")).select(*keys, "_x.*").where("value IS NOT NULL")
+    group = [*keys, "feature"]
+    levels = flat.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_here"))
+    rows = ordered(levels, group, ["value"], limit).running(_through=("sum", "_here")).done()
+    sizes = levels.groupBy(*group).agg(F.sum("_here").alias("_n"))
+    joined = rows.join(sizes, group)
+    lower, upper = F.ceil(F.col("_n") / 2), F.floor(F.col("_n") / 2) + 1
+    middle = joined.groupBy(*group).agg(
+        F.min(F.when(F.col("_through") >= lower, F.col("value"))).alias("_lo"),
+        F.min(F.when(F.col("_through") >= upper, F.col("value"))).alias("_hi"),
+    )
+    wide = [F.max(F.when(F.col("feature") == f, (F.col("_lo") + F.col("_hi")) / 2)).alias(f"median_{f}") for f in features]
+    return middle.groupBy(*keys).agg(*wide)
+
+
 def feature_audit(
     df: DataFrame, keys: list[str], features: list[str], checks: dict[str, tuple[Column, Column, Column]]
 ) -> DataFrame:
     """Per group: rows, exact medians, and for every (numerator, denominator, observed)
     the eligible rows and those where the quotient disagrees."""
     columns = [F.count(F.lit(1)).alias("rows")]
-    columns += [F.percentile(f, F.lit(0.5)).alias(f"median_{f}") for f in features]
     for name, (numerator, denominator, observed) in checks.items():
         eligible = denominator > 0
         agrees = is_close(numerator / F.when(eligible, denominator), observed, RTOL, ATOL)
         columns.append(F.count_if(eligible).alias(f"eligible_{name}"))
         columns.append(F.count_if(eligible & ~agrees).alias(f"mismatches_{name}"))
-    return df.groupBy(*keys).agg(*columns)
+    return df.groupBy(*keys).agg(*columns).join(exact_medians(df, keys, features), keys)
 
 
 def label_conflicts(df: DataFrame, vector: str, label: str, capture: str) -> DataFrame:

@@ -53,7 +53,8 @@ def _segmented(packets: DataFrame, idle_us: int, reset_closes: bool, limit: int,
     new = F.col("_prev_ts").isNull() | (F.col("ts_us") - F.col("_prev_ts") >= idle_us)
     if reset_closes:
         new = new | F.col("_prev_rst")
-    rows = rows.running(segment=("sum", new.cast("bigint")))
+    # A position per conversation: later comparisons and minima are on one integer.
+    rows = rows.running(segment=("sum", new.cast("bigint")), pos=("sum", F.lit(1).cast("bigint")))
     return rows.select(*[c for c in rows.df.columns if c not in ("_prev_ts", "_prev_rst")])
 
 
@@ -95,13 +96,16 @@ def cut_segments(active_us: int):
 def assemble_flows(
     packets: DataFrame, idle_us: int, active_us: int, limit: int = ROWS_PER_TASK, largest: int | None = None
 ) -> DataFrame:
-    """Packets with ``segment`` and ``part``; (conversation, segment, part) is a flow."""
+    """Packets with ``segment`` and ``part``; (conversation, segment, part) is a flow.
+
+    ``pos`` numbers the packets of a conversation in (time, arrival) order.
+    """
     if largest is None:
         largest = largest_conversation(packets)
     rows = _segmented(packets, idle_us, True, limit, largest)
     segment = [*CONVERSATION, "segment"]
     fin = tcp_flag(F.col("tcp_flags"), "FIN") & (F.col("protocol") == "tcp")
-    at, lo = F.struct("ts_us", "seq"), F.col("from_lo")
+    at, lo = F.col("pos"), F.col("from_lo")
     facts = {
         "_n": F.count(F.lit(1)),
         "_span": F.max("ts_us") - F.min("ts_us"),
@@ -160,7 +164,7 @@ def flow_table(assembled: DataFrame) -> DataFrame:
     def sided(name: str, make) -> list[Column]:
         return [make(lo).alias(f"_lo_{name}"), make(hi).alias(f"_hi_{name}")]
 
-    position = F.struct("ts_us", "seq")
+    position, ts = F.col("pos"), F.col("ts_us")
     stats = assembled.groupBy(*FLOW).agg(
         F.min_by("from_lo", position).alias("_first_lo"),
         F.min("ts_us").alias("start_us"),
@@ -174,6 +178,7 @@ def flow_table(assembled: DataFrame) -> DataFrame:
         *sided("syn", lambda s: F.count_if(s & syn)),
         *sided("syn_ack", lambda s: F.count_if(s & syn_ack)),
         *sided("first_syn", lambda s: F.min(F.when(s & syn, position))),
+        *sided("first_syn_us", lambda s: F.min(F.when(s & syn, ts))),
         *sided("first_syn_ack", lambda s: F.min(F.when(s & syn_ack, position))),
     )
 
@@ -200,6 +205,7 @@ def flow_table(assembled: DataFrame) -> DataFrame:
         side("syn", True).alias("syn_count"),
         side("syn_ack", False).alias("syn_ack_count"),
         side("first_syn", True).alias("_first_syn"),
+        side("first_syn_us", True).alias("_first_syn_us"),
         side("first_syn_ack", False).alias("_first_syn_ack"),
         "ack_count",
         "rst_count",
@@ -290,14 +296,14 @@ def handshake(assembled: DataFrame, flows: DataFrame, variant: str = "sorted") -
     if variant == "sorted":
         ack = ack & ~tcp_flag(F.col("tcp_flags"), "SYN")
     opened = flows.where(F.col("_first_syn").isNotNull() & F.col("_first_syn_ack").isNotNull()).select(
-        *FLOW, "_first_lo", F.greatest("_first_syn", "_first_syn_ack").alias("_open"), F.col("_first_syn.ts_us").alias("_syn_ts")
+        *FLOW, "_first_lo", F.greatest("_first_syn", "_first_syn_ack").alias("_open"), F.col("_first_syn_us").alias("_syn_ts")
     )
-    acks = assembled.where(ack).select(*FLOW, "from_lo", F.struct("ts_us", "seq").alias("_at"))
+    acks = assembled.where(ack).select(*FLOW, "from_lo", "ts_us", F.col("pos").alias("_at"))
     done = (
         acks.join(opened, FLOW)
         .where((F.col("from_lo") == F.col("_first_lo")) & (F.col("_at") > F.col("_open")))
         .groupBy(*FLOW)
-        .agg(F.min(F.col("_at.ts_us")).alias("_ack_ts"), F.first("_syn_ts").alias("_syn_ts"))
+        .agg(F.min("ts_us").alias("_ack_ts"), F.first("_syn_ts").alias("_syn_ts"))
     )
     return flows.join(done, FLOW, "left").select(
         *flows.columns,

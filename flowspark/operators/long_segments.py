@@ -81,8 +81,8 @@ def _starts(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def cut_long_segments(rows: DataFrame, segment: list[str], active_us: int, limit: int) -> DataFrame:
-    columns = [c for c in rows.columns if c != "_fin"]
-    linked = _links(rows, segment, active_us, limit)
+    columns = [c for c in rows.columns if c not in ("_fin", "pos")]
+    linked = _links(rows.withColumnRenamed("pos", "_conversation_pos"), segment, active_us, limit)
     end = F.lit(2**62)
     narrow = linked.select(
         *segment, "pos", F.coalesce("next_pos", end).alias("next_pos"), F.floor(F.col("pos") / limit).cast("bigint").alias("_part")
@@ -106,4 +106,5 @@ def cut_long_segments(rows: DataFrame, segment: list[str], active_us: int, limit
     starts = entered.groupBy(*group).applyInPandas(_starts, found).where("_start").select(*segment, "pos", "_start")
     flagged = linked.join(starts, [*segment, "pos"], "left")
     parts = ordered(flagged, segment, ["pos"], limit).running(part=("sum", F.coalesce("_start", F.lit(False)).cast("bigint")))
-    return parts.done().withColumn("part", F.col("part") - 1).select(*columns, "part")
+    out = parts.done().withColumn("part", F.col("part") - 1).drop("pos")
+    return out.withColumnRenamed("_conversation_pos", "pos").select(*columns, "pos", "part")

@@ -182,6 +182,21 @@ def macro_vectors(spark, sf):
     return _vector(table.join(macro, flows.FLOW), "macro", 16, range(7, 13))
 
 
+def edge_vectors(spark, sf):
+    """Both halves together, as exported with the edges of a snapshot."""
+    assembled, largest = v.assembled_v(spark, sf, keep=True)
+    table = flows.flow_table(assembled)
+    edges = flows.edge_vectors(assembled, table, flows.flow_entropy(assembled, largest=largest), largest)
+    rows = table.join(edges, flows.FLOW)
+    return rows.select(
+        *v.FLOW_IDENTITY,
+        F.size("edge_vector").alias("size"),
+        F.round(F.get("edge_vector", F.lit(0)), 7).alias("ttl_mean"),
+        F.round(F.get("edge_vector", F.lit(14)), 7).alias("syn_ratio"),
+        F.get("edge_vector", F.lit(31)).alias("bytes"),
+    )
+
+
 def feature_transform(spark, sf):
     """Signed log features, the inverse, and both time encodings."""
     table = v.flows_v(spark, sf)
@@ -251,6 +266,7 @@ QUERIES = {
         flow_payload_entropy,
         micro_vectors,
         macro_vectors,
+        edge_vectors,
         feature_transform,
         flow_validation,
         run_counters,
@@ -395,6 +411,8 @@ ORACLE = {
           round((fwd_packets + bwd_packets) / dur, 7) AS v06, {", ".join(f"round(v{i:02d}, 2) AS v{i:02d}" for i in range(7, 13))},
           round(down_up_ratio, 7) AS v13, round(avg_packet_size, 7) AS v14, CAST(fwd_bytes + bwd_bytes AS DOUBLE) AS v15
         FROM d JOIN spread USING (lo, hi, protocol, flow_no)""",
+    "edge_vectors": f"""{_F}, {_MICRO} SELECT {_ID}, CAST(32 AS INT) AS size, round(v00, 7) AS ttl_mean, round(v04 / (v05 + 1), 7) AS syn_ratio,
+        CAST(fwd_bytes + bwd_bytes AS DOUBLE) AS bytes FROM flows_v JOIN micro USING (lo, hi, protocol, flow_no)""",
     "feature_transform": f"""{_F}, x AS (SELECT *, bytes_per_s - avg_packet_size AS x FROM flows_v)
         SELECT {_ID}, round(ln(1 + duration_us), 6) AS log_duration, round({_LOG.format(x="x")}, 6) AS log_difference,
           round(x, 4) AS difference, CAST(trunc(last_us / 1e6) AS BIGINT) AS t_seconds,
