@@ -166,16 +166,23 @@ def reanchor(
             anchors.append(previous)
         return frame.assign(anchor=anchors, prior_mse=errors)[["capture", "window", "state", "gap", "anchor", "prior_mse"]]
 
-    maps = rows.groupBy(*keys).applyInPandas(
-        reduce, T.StructType([*key_fields, T.StructField("scale", vector), T.StructField("shift", vector)])
-    )
-    # One row per slice of a run: thousands of windows each.
-    entries = maps.groupBy("capture", "run").applyInPandas(chain, T.StructType([*key_fields, T.StructField("entry", vector)]))
+    # Only runs longer than one slice need entry states; a run's first window takes none.
+    fresh = F.array_repeat(F.lit(0.0), size)
+    cut = rows.where("part > 0").select("capture", "run").distinct()
+    if cut.isEmpty():
+        entered = rows.withColumn("entry", fresh)
+    else:
+        maps = rows.join(cut, ["capture", "run"], "left_semi").groupBy(*keys).applyInPandas(
+            reduce, T.StructType([*key_fields, T.StructField("scale", vector), T.StructField("shift", vector)])
+        )
+        # One row per slice of a run: thousands of windows each.
+        chained = maps.groupBy("capture", "run").applyInPandas(chain, T.StructType([*key_fields, T.StructField("entry", vector)]))
+        entered = rows.join(chained, keys, "left").withColumn("entry", F.coalesce("entry", fresh))
     final = T.StructType(
         [rows.schema["capture"], rows.schema["window"], T.StructField("state", vector), T.StructField("gap", T.BooleanType()),
          T.StructField("anchor", vector), T.StructField("prior_mse", T.DoubleType())]
     )
-    out = rows.join(entries, keys).groupBy(*keys).applyInPandas(resolve, final)
+    out = entered.groupBy(*keys).applyInPandas(resolve, final)
     return out.withColumn("reanchored", ~F.col("gap"))
 
 

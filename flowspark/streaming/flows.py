@@ -26,7 +26,6 @@ FLOW_ROW = (
     "syn_count bigint, syn_ack_count bigint, ack_count bigint, rst_count bigint, fin_count bigint, last_ts timestamp"
 )
 NAMES = [f.split()[0] for f in STATE.split(", ")]
-FAR = np.iinfo(np.int64).max
 
 
 class FlowAssembler(StatefulProcessor):
@@ -86,9 +85,11 @@ class FlowAssembler(StatefulProcessor):
         return flow
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable")
-        cols = {c: frame[c].to_numpy() for c in ("ts_us", "from_lo", "bytes", "syn", "syn_ack", "ack", "rst", "fin")}
-        t, lo, n = cols["ts_us"], cols["from_lo"], len(frame)
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+        order = np.lexsort((frame["seq"].to_numpy(), frame["ts_us"].to_numpy()))
+        cols = {c: frame[c].to_numpy()[order] for c in ("ts_us", "from_lo", "bytes", "syn", "syn_ack", "ack", "rst", "fin")}
+        t, lo, n = cols["ts_us"], cols["from_lo"], len(order)
         place = np.arange(n)
 
         def upcoming(mask):
