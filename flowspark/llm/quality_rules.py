@@ -6,8 +6,9 @@ are tested from lenient to strict.  A cutoff is certified while the exact binomi
 seeing so few rejected good documents, were the true false-rejection rate at the limit, stays
 below the level; testing stops at the first failure (fixed-sequence testing), and the level is
 divided by the number of (stratum, rule) sequences, so that all certified cutoffs hold together
-with the stated confidence.  Among certified cutoffs the one that rejects most labelled junk is
-taken, the most lenient of equals; with none certified the rule is off for that stratum.
+with the stated confidence.  Among certified cutoffs the one with the greatest gain is taken
+(labelled junk rejected, less ``good_cost`` for each good document), the most lenient of equals;
+with none certified, or no gain, the rule is off for that stratum.
 
 Defined cases: null text has no words and fails the base rule; null language is a stratum of its
 own (``''``); labels that are null or contradict each other count as separate observations or not
@@ -87,7 +88,7 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0)))
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, *, limit: float = 0.05, confidence: float = 0.95) -> DataFrame:
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, *, limit: float = 0.05, confidence: float = 0.95, good_cost: float = 20.0) -> DataFrame:
     """``stratum, rule, cutoff`` of the rules that are on: ``limit`` is the largest share of good
     documents that all rules of a stratum together may reject."""
     marked = labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("_good"))
@@ -105,7 +106,8 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, *, limit: float =
     tests = tests.withColumn("p_value", p).crossJoin(F.broadcast(sequences))  # one row
     order = Window.partitionBy("stratum", "rule").orderBy("i")
     tests = tests.withColumn("certified", F.min((F.col("p_value") <= (1 - confidence) / F.col("_sequences"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = tests.where("certified AND bad_rejected > 0").groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "p_value", "n_good", "good_rejected", "bad_rejected"), F.struct("bad_rejected", "cutoff")).alias("best"))
+    tests = tests.withColumn("gain", F.col("bad_rejected") - good_cost * F.col("good_rejected"))
+    best = tests.where("certified AND gain > 0").groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "p_value", "n_good", "good_rejected", "bad_rejected"), F.struct("gain", "cutoff")).alias("best"))
     return best.select("stratum", "rule", "best.*")
 
 
