@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, mixing, quality_rules, simhash, url_filter
-from flowspark.llm.common import materialized, table
+from flowspark.llm import decontaminate, mixing, quality_rules, repeats, simhash, token_files, url_filter
+from flowspark.llm.common import fresh_dir, materialized, table
 
 #: Fixed rules of the contract.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+#: Id appended to every document.
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(table(spark, sf_dir, "documents"), fresh_dir(spark, "tokens"), tokenizer=tokenizer_path(), end_id=END_ID)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -54,5 +68,10 @@ def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "class_blocked")
 
 
-QUERIES = {f.__name__: f for f in [op2_decontaminate, op5_simhash, op6_mix, op7_quality_rules, op9_redirects]}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in [op1_token_files, op2_decontaminate, op5_simhash, op6_mix, op7_quality_rules, op9_redirects, op10_repeats]}
 ORACLE: dict[str, str] = {}
