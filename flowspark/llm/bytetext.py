@@ -84,3 +84,42 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, table: np.
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[:-1], out=sums[1:])
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x21, 0x7F)]] = 3
+_KIND[[*range(48, 58)]] = 2
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def token_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``row, kind, begin, end`` of the tokens of texts that stand one after the other.
+
+    Kinds: 1 letters (any byte beyond ASCII counts as one), 2 digits, 3 a single other sign.
+    """
+    kind = _KIND[data]
+    new = kind > 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts[:-1][starts[:-1] <= len(data)]] = True
+    same = (kind[1:] == kind[:-1]) & (kind[1:] < 3) & ~edge[1:-1] if len(data) else np.zeros(0, bool)
+    new[1:] &= ~same
+    last = kind > 0
+    last[:-1] &= ~same
+    begin, end = np.flatnonzero(new), np.flatnonzero(last) + 1
+    return np.searchsorted(starts, begin, side="right") - 1, kind[begin], begin, end
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z to a-z."""
+    return _LOWER[data]
+
+
+def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``row, kind, upper, hash`` of the tokens: hashes are of lower-cased bytes, ``upper`` says that
+    the first two letters were capitals."""
+    row, kind, begin, end = token_spans(data, starts)
+    capital = np.concatenate([(data >= 65) & (data <= 90), [False]])
+    upper = capital[begin] & capital[begin + 1] & (end - begin > 1)
+    return row, kind, upper, span_hashes(lowered(data), begin, end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, mixing, quality_rules, repeats, simhash, token_files, url_filter
+from flowspark.llm import decontaminate, mixing, ppm, quality_net, quality_rules, repeats, simhash, token_files, toxicity_fm, url_filter
 from flowspark.llm.common import fresh_dir, materialized, table
 
 #: Fixed rules of the contract.
@@ -31,6 +31,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = ppm.fold(F.col("doc_id"), 7) == 2
+    out = ppm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = ppm.fold(F.col("doc_id"), 3) == 1
+    out = quality_net.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,6 +74,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = ppm.fold(F.col("doc_id"), 3) == 1
+    out = toxicity_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     out = url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -73,5 +91,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in [op1_token_files, op2_decontaminate, op5_simhash, op6_mix, op7_quality_rules, op9_redirects, op10_repeats]}
+QUERIES = {f.__name__: f for f in [op1_token_files, op2_decontaminate, op3_ppm, op4_quality_net, op5_simhash, op6_mix, op7_quality_rules, op8_toxicity_fm, op9_redirects, op10_repeats]}
 ORACLE: dict[str, str] = {}
