@@ -35,24 +35,23 @@ def _count(text: Column, chars: str) -> Column:
     return (F.size(F.split(text, chars)) - 1).cast("long")
 
 
-def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+def measures(docs: DataFrame) -> DataFrame:
     """One row per input row: counts, base verdict and the rules' ratios; one pass, no shuffle.
 
-    ``carry`` keeps the whole input row as the struct ``_row``.
+    Write the result before filtering it: a filter that is pushed into these expressions would
+    compute them again for every word.
     """
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if carry else []
-    rest = ["_row"] if carry else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*row, "doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), text.alias("_t"), space_words(F.col("text")).alias("_w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("lang", F.lit("")).alias("stratum"), text.alias("_t"), space_words(F.col("text")).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     base = base.select(
-        *rest, "doc_id", "stratum", "_w", F.size("_w").alias("_n"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        "doc_id", "text_hash", "stratum", "_w", F.size("_w").alias("_n"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         _count(F.col("_t"), r"[#*$%&|<>]").alias("n_symbols"), _count(F.col("_t"), "[A-Z]").alias("n_capitals"), _count(F.col("_t"), "!").alias("n_exclamations"), lines.alias("_lines"),
     )
     # Hashes of all 8-word windows, in order; equal hashes mark equal windows of one text.
     window = F.transform(starts(F.col("_n"), WINDOW), lambda i: F.xxhash64(*[at(F.col("_w"), i + k) for k in range(WINDOW)]))
     base = base.select(
-        *rest, "doc_id", "stratum", F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals", "n_exclamations",
+        "doc_id", "text_hash", "stratum", F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals", "n_exclamations",
         F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_n") > WINDOW, window).alias("_h"),
     )
