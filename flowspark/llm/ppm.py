@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from flowspark.llm.bytetext import chunks, mix, text_bytes
 from flowspark.llm.common import ascii_lower, materialized, space_words
 
-ORDER = 5
+ORDER = 4
 BEGIN, END = 0xFE, 0xFF
 #: Largest trie, in rows, that workers hold (about 30 bytes a row).
 TRIE_ROWS = 4_000_000
