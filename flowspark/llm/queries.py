@@ -92,4 +92,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [op1_token_files, op2_decontaminate, op3_ppm, op4_quality_net, op5_simhash, op6_mix, op7_quality_rules, op8_toxicity_fm, op9_redirects, op10_repeats]}
-ORACLE: dict[str, str] = {}
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The others need XXH64, a tokenizer, trained models or components; tests hold them against plain Python.
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": f"""
+WITH w AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS k FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item, array_to_string(list_slice(ws, k, k + 9), ' ') AS win, least(len(ws), 10) AS l FROM s),
+p AS (SELECT doc_id, ws, l, unnest(generate_series(1, len(ws) - l + 1)) AS k FROM w, (SELECT DISTINCT l FROM iw) ls WHERE len(ws) >= l),
+dw AS (SELECT doc_id, k, l, array_to_string(list_slice(ws, k, k + l - 1), ' ') AS win FROM p),
+h AS (SELECT DISTINCT dw.doc_id, dw.k, dw.l, iw.item FROM dw JOIN iw ON dw.win = iw.win AND dw.l = iw.l),
+spots AS (SELECT doc_id, unnest(generate_series(k, k + l - 1)) AS pos FROM (SELECT DISTINCT doc_id, k, l FROM h) x),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM spots GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) x GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
