@@ -84,7 +84,10 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 def compare_exports(
     left: DataFrame, right: DataFrame, keys: list[str], order: list[str], n: int | None = None, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Pair two exports by row position and count rows equal on all common columns."""
+    """Pair two exports by row position and count rows equal on all common columns.
+
+    Rows of the longer export that have no partner are counted as unpaired.
+    """
     common = [c for c in left.columns if c in right.columns and c not in (*keys, *order)]
 
     def placed(df: DataFrame, side: str) -> DataFrame:
@@ -93,11 +96,13 @@ def compare_exports(
         rows = rows if n is None else rows.where(F.col("_pos") <= n)
         return rows.select(*keys, "_pos", F.struct(*common).alias(side))
 
-    paired = placed(left, "_l").join(placed(right, "_r"), [*keys, "_pos"])
+    paired = placed(left, "_l").withColumn("_in_l", F.lit(True)).join(placed(right, "_r").withColumn("_in_r", F.lit(True)), [*keys, "_pos"], "full")
+    both = F.coalesce(F.col("_in_l") & F.col("_in_r"), F.lit(False))
     return paired.groupBy(*keys).agg(
         F.lit(len(common)).alias("common_columns"),
-        F.count(F.lit(1)).alias("checked_rows"),
-        F.count_if(F.col("_l").eqNullSafe(F.col("_r"))).alias("matching_rows"),
+        F.count_if(both).alias("checked_rows"),
+        F.count_if(both & F.col("_l").eqNullSafe(F.col("_r"))).alias("matching_rows"),
+        F.count_if(~both).alias("unpaired_rows"),
     )
 
 

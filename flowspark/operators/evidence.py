@@ -77,7 +77,7 @@ def merkle_root(leaves: DataFrame, batch: list[str], pos: str = "pos", leaf: str
             # Batches that already fit one block stop at size 1; others fold all levels, so
             # a short last block keeps pairing with itself like its neighbours' levels do.
             spread = sized.select(*batch, (F.col("leaves") > width ** (step + 1)).alias("_more"))
-            folded = folded.join(spread, batch)
+            folded = folded.join(spread, batch) if batch else folded.crossJoin(F.broadcast(spread))  # one row
         else:
             folded = folded.withColumn("_more", F.lit(False))
         # Expressions, not a per-level shuffle: the fold stays inside the task.

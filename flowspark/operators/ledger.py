@@ -44,6 +44,8 @@ def recomputed_roots(blocks: DataFrame) -> DataFrame:
 def verify_ledger(blocks: DataFrame, roots: DataFrame | None = None, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Every block with ``reason``, the first failed check, NULL when it verifies.
 
+    Comparisons are null-safe: a missing hash, parent, root or index fails its check.
+
     ``roots`` (block_index, _root, _leaves) may be given when the leaves live in a table
     of their own instead of ``leaf_hashes``.
     """
@@ -54,11 +56,11 @@ def verify_ledger(blocks: DataFrame, roots: DataFrame | None = None, limit: int
     joined = rows.join(roots, "block_index", "left")
     genesis = F.coalesce("_prev_hash", F.lit(GENESIS))
     reason = (
-        F.when(F.col("block_index") != F.col("_no") - 1, "index_sequence")
-        .when(F.col("_leaves").isNull() | (F.col("leaf_count") != F.col("_leaves")), "leaf_count")
-        .when(F.col("block_hash") != block_hash(blocks), "block_hash")
-        .when(F.col("prev_block_hash") != genesis, "previous_hash")
-        .when(F.col("merkle_root") != F.col("_root"), "merkle_root")
+        F.when(~F.col("block_index").eqNullSafe(F.col("_no") - 1), "index_sequence")
+        .when(F.col("_leaves").isNull() | ~F.col("leaf_count").eqNullSafe(F.col("_leaves")), "leaf_count")
+        .when(~F.col("block_hash").eqNullSafe(block_hash(blocks)), "block_hash")
+        .when(~F.col("prev_block_hash").eqNullSafe(genesis), "previous_hash")
+        .when(~F.col("merkle_root").eqNullSafe(F.col("_root")), "merkle_root")
     )
     return joined.select(*blocks.columns, reason.alias("reason"))
 

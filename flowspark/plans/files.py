@@ -236,6 +236,6 @@ ORACLE = {
           CAST(0 AS BIGINT) AS invalid_numeric, CAST(0 AS BIGINT) AS invalid_ip, CAST(0 AS BIGINT) AS empty_label FROM flows_v
         UNION ALL SELECT 'features', 18, 'src_ip,dst_ip', '', count(*), 0, 0, 0, 0 FROM flows_v""",
     "folder_counts": """SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS folder, count(*) AS files FROM pages GROUP BY 1 ORDER BY 1""",
-    "paired_exports": """SELECT l_returnflag AS file, CAST(3 AS INT) AS common_columns, count(*) AS checked_rows, count(*) FILTER (l_quantity <= 40) AS matching_rows
+    "paired_exports": """SELECT l_returnflag AS file, CAST(3 AS INT) AS common_columns, count(*) AS checked_rows, count(*) FILTER (l_quantity <= 40) AS matching_rows, CAST(0 AS BIGINT) AS unpaired_rows
         FROM lineitem GROUP BY 1""",
 }

@@ -33,7 +33,7 @@ def node_dimension(spark, sf):
 
 
 def node_dimension_by_protocol(spark, sf):
-    return graph.node_dim(v.flows_v(spark, sf), ORDER, ["protocol"], max_nodes=10_000_000)
+    return graph.node_dim(v.flows_v(spark, sf), ORDER, ["protocol"])
 
 
 def edge_node_ids(spark, sf):

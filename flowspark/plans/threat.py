@@ -255,11 +255,11 @@ block_walk AS (
     CASE WHEN hit = 0 THEN w.hits WHEN w.expires_us IS NULL OR e.ts_us >= w.expires_us THEN e.n ELSE w.hits + e.n END
   FROM block_walk w JOIN numbered_b e ON e.ip = w.ip AND e.rn = w.rn + 1)"""
 _F = v.FLOW_CTES
-_RULE_REASON = f"""CASE WHEN port_scan THEN format('Host probed {{}} distinct ports within {{:.1f}}s window.', scan_ports, {_W} / 1000000.0)
-  WHEN {_FLOOD} THEN format('Unidirectional TCP SYN flood pattern ({{}} SYNs observed, 0 responses, empty payload).', greatest(fwd_packets, syn_flows))
-  WHEN {_UDP} THEN format('High-rate unidirectional UDP blast ({{:.0f}} pkts/s, 0 responses).', packets_per_s)
-  WHEN {_SLOW} THEN format('Lingering TCP connection holding socket open (duration {{:.1f}}s, throughput {{:.1f}} B/s).', duration_us / 1e6, bytes_per_s)
-  WHEN {_VOLUME} THEN format('Extreme volumetric surge detected ({{:.0f}} pkts/s, {{:.1f}} MB/s).', packets_per_s, bytes_per_s / 1e6) END"""
+_RULE_REASON = f"""CASE WHEN port_scan THEN format('Contacted {{}} different ports in {{:.1f}} s.', scan_ports, {_W} / 1000000.0)
+  WHEN {_FLOOD} THEN format('{{}} SYN packets without answer or payload.', greatest(fwd_packets, syn_flows))
+  WHEN {_UDP} THEN format('One-way UDP at {{:.0f}} packets/s, nothing came back.', packets_per_s)
+  WHEN {_SLOW} THEN format('Open for {{:.1f}} s at only {{:.1f}} bytes/s.', duration_us / 1e6, bytes_per_s)
+  WHEN {_VOLUME} THEN format('Sends {{:.0f}} packets/s, {{:.1f}} MB/s.', packets_per_s, bytes_per_s / 1e6) END"""
 _ALERT_ROWS = f"""alert_rows AS (SELECT *, ({_STAGE_LIST})[model_stage + 1] AS s1, ({_STAGE_LIST})[CAST(fwd_packets % 8 AS INT) + 1] AS s2
   FROM fused WHERE is_attack),
 gated AS (SELECT *, CASE WHEN s1 = s2 THEN s1 ELSE s1 || ',' || s2 END AS stages,

@@ -64,7 +64,6 @@ FAMILY_LABELS = [
     "DDOS attack-HOIC", "DDOS attack-LOIC-UDP", "DDoS attacks-LOIC-HTTP", "DoS attacks-GoldenEye", "DoS attacks-Slowloris",
     "DoS attacks-SlowHTTPTest", "DoS attacks-Hulk", "FTP-BruteForce", "SSH-Bruteforce",
 ]
-INVENTORY_ROWS = 5000
 
 
 def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -244,10 +243,10 @@ def _spread(headers: list[str]) -> tuple[list[str], list[str]]:
     return missing, [same[0].strip() for same in found.values() if len(same) > 1]
 
 
-def audit_inventory(spark: SparkSession, files: list[str], rows_per_file: int | None = INVENTORY_ROWS) -> DataFrame:
+def audit_inventory(spark: SparkSession, files: list[str], rows_per_file: int | None = None) -> DataFrame:
     """Per file: columns, missing and repeated headers, and error counts by kind.
 
-    The row limit is part of this bounded check; None reads every row.
+    Reads every row; ``rows_per_file`` bounds the check to the first ones.
     """
     parts = []
     for path in files:
