@@ -36,48 +36,55 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     hashed = cells.select("doc_id", "text_hash", F.when(F.col("_n") > 0, F.xxhash64(joined)).alias("_h"))
     pair = lambda j: F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(F.lit(0x100000001)))
     sums = hashed.groupBy("doc_id", "text_hash").agg(F.count("_h").alias("_n"), *[pair(j).alias(f"_s{j}") for j in range(32)])
-    low = [F.col(f"_s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(32)]
-    high = [F.shiftrightunsigned(f"_s{j}", 32) for j in range(32)]
-    fp = F.lit(0).cast("long")
-    for bit, count in enumerate([*low, *high]):
-        value = (1 << bit) - (1 << BITS if bit == BITS - 1 else 0)
-        fp = fp.bitwiseOR(F.when(2 * count > F.col("_n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
+    one = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+    set_if = lambda count, j: F.when(2 * count > F.col("_n"), one(j)).otherwise(F.lit(0).cast("long"))
+    sums = sums.select("doc_id", "text_hash", "_n", F.array(*[F.coalesce(f"_s{j}", F.lit(0).cast("long")) for j in range(32)]).alias("_c"))
+    fp = F.aggregate(
+        F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"),
+        lambda a, j: a.bitwiseOR(set_if(F.get("_c", j).bitwiseAND(F.lit(0xFFFFFFFF)), j)).bitwiseOR(set_if(F.shiftrightunsigned(F.get("_c", j), 32), j + 32)),
+    )
     return sums.select("doc_id", "text_hash", F.coalesce(fp, F.lit(0).cast("long")).alias("fp"))
 
 
-def _cells(fp: Column, segments: int) -> Column:
-    """Keys of the grid cells within one step of the popcount vector, its own cell included.
+def packed_counts(fp: Column, width: int) -> Column:
+    """Bit counts of all ``width``-bit segments (2, 4 or 8), each in the place of its segment."""
+    masks = {1: 0x5555555555555555, 2: 0x3333333333333333, 4: 0x0F0F0F0F0F0F0F0F}
+    half = 1
+    while half < width:
+        a, b = fp.bitwiseAND(F.lit(masks[half])), F.shiftrightunsigned(fp, half).bitwiseAND(F.lit(masks[half]))
+        # Single bits are added without carry into the sign; later sums leave it free.
+        fp = a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)) if half == 1 else a + b
+        half *= 2
+    return fp
 
-    Segments of 2 bits and more: each count takes a fixed field of the key; a step adds or takes
-    one in one field.
+
+def _visits(distinct: DataFrame, segments: int) -> DataFrame:
+    """``fp, cell``: grid cells within one step of each popcount vector, its own included.
+
+    A cell is the packed vector; a step adds or takes one in one segment's place, within 0 and the
+    segment's width.  Rows are spread first, since few bytes become many.
     """
     width = BITS // segments
-    field = max(2, width.bit_length())
-    counts = [F.bit_count(F.shiftrightunsigned(fp, s * width).bitwiseAND(F.lit((1 << width) - 1))) for s in range(segments)]
-    per_key = 62 // field
-    groups = [counts[i : i + per_key] for i in range(0, segments, per_key)]
-    keys = []
-    for g in groups:
-        key = F.lit(0).cast("long")
-        for i, c in enumerate(g):
-            key = key + F.shiftleft(c.cast("long"), field * i)
-        keys.append(key)
-    own = F.struct(*[k.alias(f"c{j}") for j, k in enumerate(keys)])
-    steps = [own]
-    for s, c in enumerate(counts):
-        group, place = divmod(s, per_key)
-        for sign, allowed in ((1, c < width), (-1, c > 0)):
-            moved = [k + sign * (1 << field * place) if j == group else k for j, k in enumerate(keys)]
-            steps.append(F.when(allowed, F.struct(*[k.alias(f"c{j}") for j, k in enumerate(moved)])))
-    return F.filter(F.array(*steps), lambda x: x.isNotNull())
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("fp", packed_counts(F.col("fp"), width).alias("own")).repartition(spread)
+    rows = rows.select("fp", "own", F.explode(F.sequence(F.lit(0), F.lit(2 * segments))).alias("i"))
+    place = (F.floor(F.col("i") / 2) % segments * width).cast("int")
+    count = F.expr("shiftrightunsigned(own, place)").bitwiseAND(F.lit((1 << width) - 1))
+    rows = rows.select("fp", "own", "i", place.alias("place")).withColumn("count", count)
+    up = F.col("i") % 2 == 0
+    allowed = (F.col("i") == 2 * segments) | F.when(up, F.col("count") < width).otherwise(F.col("count") > 0)
+    # Xor with what changes: the place's count before and after the step, so that no field can carry.
+    after = F.when(up, F.col("count") + 1).otherwise(F.col("count") - 1)
+    moved = F.expr("own ^ shiftleft(count ^ after, place)")
+    rows = rows.where(allowed).withColumn("after", after)
+    return rows.select("fp", F.when(F.col("i") == 2 * segments, F.col("own")).otherwise(moved).alias("cell"))
 
 
 def candidates(distinct: DataFrame, *, segments: int = 32) -> DataFrame:
     """Fingerprints that share a grid cell with another one: the Manhattan lower bound."""
-    visits = distinct.select("fp", F.explode(_cells(F.col("fp"), segments)).alias("c")).select("fp", "c.*")
-    key = [c for c in visits.columns if c != "fp"]
-    shared = visits.groupBy(*key).agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).where("_lo < _hi").select(*key)
-    return visits.join(shared, key, "left_semi").select("fp").distinct()
+    visits = _visits(distinct, segments)
+    shared = visits.groupBy("cell").agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).where("_lo < _hi").select("cell")
+    return visits.join(shared, "cell", "left_semi").select("fp").distinct()
 
 
 def links(distinct: DataFrame, *, max_distance: int = 2, segments: int = 32) -> DataFrame:
@@ -87,7 +94,7 @@ def links(distinct: DataFrame, *, max_distance: int = 2, segments: int = 32) ->
     if max_distance == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     near = materialized(candidates(distinct, segments=segments), "simhash-near")
-    flips = F.array(*[F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << BITS if b == BITS - 1 else 0)).cast("long")) for b in range(BITS)])
+    flips = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
     if max_distance == 1:
         moved = near.select(F.col("fp").alias("a"), F.explode(flips).alias("b"))
         return moved.join(near.select(F.col("fp").alias("b")), "b", "left_semi").where("a > b")
