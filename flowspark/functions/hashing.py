@@ -27,6 +27,12 @@ def sha256_text(text: Column) -> Column:
 
 
 def event_fingerprint(src: Column, dst: Column, ts_us: Column, features: list[Column]) -> Column:
-    """Digest of one labelled event: endpoints, time and features in order."""
-    body = F.concat_ws(",", *[fixed(f) for f in features])
-    return sha256_text(F.concat(F.lit("["), src, F.lit(","), dst, F.lit(","), ts_us.cast("string"), F.lit(",["), body, F.lit("]]")))
+    """Digest of one labelled event: endpoints, time and features in order.
+
+    A missing value is the word ``null`` in its place, so that no two events with values in
+    different places share a digest; numbers too large for the fixed form keep their own text.
+    """
+    known = lambda c: F.coalesce(c, F.lit("null"))
+    number = lambda c: F.coalesce(F.round(c.cast("double"), HASH_DECIMALS).try_cast(f"decimal(38,{HASH_DECIMALS})").cast("string"), c.cast("string"))
+    body = F.concat_ws(",", *[known(number(f)) for f in features])
+    return sha256_text(F.concat(F.lit("["), known(src), F.lit(","), known(dst), F.lit(","), known(ts_us.cast("string")), F.lit(",["), body, F.lit("]]")))

@@ -34,6 +34,13 @@ def test_roots_across_block_rounds(leaves):
         assert got[b] == (tree_root([sha(f"{b}/{i}") for i in range(n)]), n)
 
 
+@pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2500])
+def test_root_without_batch_keys(spark, n):
+    rows = [(i, sha(f"x/{i}")) for i in range(n)]
+    root = evidence.merkle_root(spark.createDataFrame(rows, "pos bigint, leaf string"), []).collect()
+    assert [(r.root, r.leaves) for r in root] == [(tree_root([h for _, h in rows]), n)]
+
+
 def test_proofs(leaves):
     small = leaves.where("batch < 5")
     roots = evidence.merkle_root(small, ["batch"])
@@ -65,6 +72,9 @@ def test_ledger_verification(spark, limit):
         ("timestamp", F.lit("1.5"), "block_hash"),
         ("block_hash", F.sha2("block_hash", 256), "block_hash"),
         ("leaf_hashes", F.reverse("leaf_hashes"), "merkle_root"),
+        ("block_hash", F.lit(None).cast("string"), "block_hash"),
+        ("prev_block_hash", F.lit(None).cast("string"), "block_hash"),
+        ("leaf_count", F.lit(None).cast("bigint"), "leaf_count"),
     ]:
         bad = good.withColumn(column, F.when(F.col("block_index") == 3, value).otherwise(F.col(column)))
         got = {r.block_index: r.reason for r in lg.verify_ledger(bad, limit=limit).collect()}

@@ -191,3 +191,11 @@ def test_report_and_export_comparison(spark, tmp_path):
     r = compare_exports(left, right, ["file"], ["n"]).first()
     assert (r.common_columns, r.checked_rows, r.matching_rows) == (2, 6, 5)
     assert compare_exports(left, right, ["file"], ["n"], 4).first().matching_rows == 4
+
+
+def test_surplus_rows_are_unpaired(spark):
+    from flowspark.operators.audit import compare_exports
+
+    left = spark.createDataFrame([("f", i, i) for i in range(5)], "file string, at int, x int")
+    got = compare_exports(left, left.where("at < 3"), ["file"], ["at"]).first()
+    assert (got.checked_rows, got.matching_rows, got.unpaired_rows) == (3, 3, 2)
