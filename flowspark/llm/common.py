@@ -73,8 +73,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, amount: str, buckets: int = 1024) -> DataFrame:
-    """Adds ``before``: the sum of ``amount`` over earlier rows of the key, by ``order`` in [0, 1).
+def running_total(df: DataFrame, keys: list[str], order: str, ties: list[str], amount: str, buckets: int = 1024) -> DataFrame:
+    """Adds ``before``: the sum of ``amount`` over earlier rows of the key, by ``order`` in [0, 1)
+    and, where equal, by ``ties``.
 
     Keys are not null.  They are cut into buckets of the order, so a hot key is spread over many tasks; only one row
     per key and bucket is summed along a key.
@@ -84,5 +85,5 @@ def running_total(df: DataFrame, keys: list[str], order: str, amount: str, bucke
     along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(along), F.lit(0))).drop("_sum")
     joined = cut.join(sums, [*keys, "_bucket"])
-    within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn("before", F.col("_base") + F.coalesce(F.sum(amount).over(within), F.lit(0))).drop("_base", "_bucket")

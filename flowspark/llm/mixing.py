@@ -86,6 +86,6 @@ def mix(docs: DataFrame, weights: DataFrame, *, domain: Column, total: Column, m
     rows = rows.join(split, LEVELS)
     draw = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("text_hash"))
     rows = rows.withColumn("_order", (F.shiftrightunsigned(draw, 11).cast("double") / float(1 << 53)))
-    rows = running_total(rows, LEVELS, "_order", "n_tokens")
+    rows = running_total(rows, LEVELS, "_order", ["doc_id", "text_hash"], "n_tokens")
     taken = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("_rest") - F.col("before")))
     return rows.select("doc_id", "text_hash", *LEVELS, "n_tokens", "budget", "epochs", taken.cast("long").alias("prefix_tokens"), F.col("before").cast("long"))
