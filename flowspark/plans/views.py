@@ -229,6 +229,10 @@ scored_v AS (
   FROM lineitem)"""
 
 
+#: Numbers of a supplied embedding.
+STATE_DIMS = 64
+
+
 def states_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window states: every sixth window is followed by a gap."""
     rows = ordered(table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"])
@@ -236,14 +240,14 @@ def states_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("label").alias("capture"),
         (F.col("rank") + F.floor(F.col("rank") / 6)).cast("bigint").alias("window"),
-        F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("state"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("state"),
     )
 
 
 STATES = """
 states_v AS (
   SELECT label AS capture, CAST(r + floor(r / 6) AS BIGINT) AS "window",
-    [CAST(x AS DOUBLE) FOR x IN embedding[1:4]] AS state
+    [CAST(x AS DOUBLE) FOR x IN embedding] AS state
   FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings) e)"""
 
 
