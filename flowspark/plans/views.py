@@ -252,7 +252,9 @@ states_v AS (
 
 
 def stage_probs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))
+    """Eight class masses: the sizes of every eighth number of the embedding, over their sum."""
+    eighths = F.sequence(F.lit(0), F.lit(STATE_DIMS // 8 - 1))
+    first = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.aggregate(eighths, F.lit(0.0), lambda a, k: a + F.abs(F.get("embedding", c + 8 * k).cast("double"))))
     total = F.aggregate(first, F.lit(0.0), lambda a, x: a + x)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), first.alias("a"), total.alias("t"))
     return rows.select(
@@ -264,7 +266,7 @@ STAGE_PROBS = """
 stage_probs_v AS (
   SELECT vec_id, label % 8 AS y, [x / t FOR x IN a] AS probs
   FROM (SELECT vec_id, label, a, list_reduce(a, lambda s, x: s + x) AS t
-    FROM (SELECT vec_id, label, [abs(CAST(x AS DOUBLE)) FOR x IN embedding[1:8]] AS a FROM embeddings) e) f)"""
+    FROM (SELECT vec_id, label, [list_reduce([abs(CAST(embedding[c + 8 * k] AS DOUBLE)) FOR k IN range(0, 8)], lambda s, x: s + x) FOR c IN range(1, 9)] AS a FROM embeddings) e) f)"""
 
 
 def leaves_v(spark: SparkSession, sf_dir: str) -> DataFrame:
