@@ -284,6 +284,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = 32, most_e
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     twice = docs.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     docs = docs.select("doc_id", key.alias("d"), (F.xxhash64("doc_id", "text") if twice else F.lit(0).cast("long")).alias("tag"), "text")
+    if twice:  # before phrases are cut: two rows of one (d, tag) would be repeats of each other
+        docs = materialized(docs.dropDuplicates(["d", "tag"]), "repeats-once")
     found = materialized(parse_order(corpus_phrases(docs.select("d", "tag", "text"), length, gram)), "repeats-parse")
     edges = found.where("edge").select("g", "d", "tag", "span")
     packed = _packed(docs)
@@ -294,5 +296,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = 32, most_e
         edges = edges.join(crowded, "g", "left_anti")
     gone = gone.union(dictionary_order(_contexts(packed, edges, length), length))
     lists = gone.groupBy("d", "tag").agg(F.collect_list("span").alias("spans"))
-    result = _cut(packed.join(lists, ["d", "tag"], "left"), length)
-    return (result.dropDuplicates(["doc_id", "tag"]) if twice else result).drop("tag")
+    return _cut(packed.join(lists, ["d", "tag"], "left"), length).drop("tag")

@@ -126,6 +126,18 @@ def test_repeats(docs, doc_rows, no_docs, most_edges):
     assert repeats.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("most_edges", [repeats.MOST_EDGES, 0])
+def test_repeats_of_a_long_row(spark, most_edges):
+    """A repeated row longer than a string stays whole as one document; another text under its id is a document."""
+    rng = np.random.default_rng(3)
+    part = "".join(rng.choice(list("abcdefgh "), 400))
+    rows = [(1, part), (1, part), (None, part[:250]), (None, part[:250]), (2, part + "tail"), (2, "other"), (2, part + "tail")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_edges=most_edges)
+    hashed = {t: spark.createDataFrame([(2, t)], "d long, t string").select(F.xxhash64("d", "t")).first()[0] for t in (part + "tail", "other")}
+    ordered = [(None, part[:250]), (1, part), *((2, t) for t in sorted(hashed, key=hashed.get))]
+    same(got.drop("span_starts", "span_ends").collect(), brute.repeats(ordered))
+
+
 def test_repeats_pieces(spark, monkeypatch):
     """Long texts are cut into pieces and phrases reduced in parts: results stay the same."""
     monkeypatch.setattr(repeats, "PIECE", 512)
