@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.llm import common, decontaminate, mixing, ppm, quality_rules, repeats, simhash, url_filter
+from flowspark.llm import common, decontaminate, mixing, ppm, quality_rules, repeats, shingle_sets, simhash, stages, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,6 +93,63 @@ def test_simhash_links(spark, distance, segments):
     assert groups(find) == groups(lambda x: roots.get(x, x))
 
 
+def _similar(rows):
+    """component_id of (doc_id, text) rows by all pairs of five-word shingle sets of similarity 0.8."""
+    sets = []
+    for _, t in rows:
+        w = brute.words((t or "").translate(brute.LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {r: min((d for (d, _), q in zip(rows, root) if q == r and d is not None), default=None) for r in set(root)}
+    return [(d, least[r]) for (d, _), r in zip(rows, root)]
+
+
+def _edited(seed):
+    """Texts of 40 to 200 words with one to ten words changed, chains of changes, and a shared passage."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    out, passage = [], words(60)
+    for k in range(8):
+        base = words(int(rng.integers(40, 200))) if k % 2 else passage + words(12)
+        out.append(base)
+        for changes in (1, 2, 4, 7, 10):
+            base = list(base if changes % 2 else out[-1])
+            for i in rng.integers(0, len(base), changes):
+                base[i] = f"n{rng.integers(10**9)}"
+            out.append(base)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("centres", [1, 4])
+def test_shingle_sets(spark, docs, doc_rows, no_docs, centres):
+    got = shingle_sets.near_duplicates(docs, centres=centres).select("doc_id", "component_id").collect()
+    same(got, _similar(once(doc_rows)))
+    rows = list(enumerate(_edited(5)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = shingle_sets.near_duplicates(frame, centres=centres).select("doc_id", "component_id").collect()
+    same(got, _similar(rows))
+    assert shingle_sets.near_duplicates(no_docs).count() == 0
+
+
+def test_near_duplicates_stage(spark):
+    """Copies with a few of 200 words changed go; the SimHash parameters of op5 left them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(20):
+        w = [f"v{i}" for i in rng.integers(0, 5000, 200)]
+        rows.append((2 * k, " ".join(w)))
+        for i in (20, 90, 150):
+            w[i] = f"new{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    kept = stages.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (None, 3)]
     got = dict(common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
