@@ -10,65 +10,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowspark.streaming.source import use_rocksdb
+from flowspark.operators import rules
+from flowspark.schemas import FEATURE_COLUMNS
+from flowspark.streaming.replay import BUCKETS, Replay, bucket, replayed
+from flowspark.streaming.source import use_rocksdb, with_event_time
 
-SCAN_ROW = "src_ip string, dst_ip string, src_port int, dst_port int, protocol string, start_us bigint, scan_ports bigint, port_scan boolean"
 BLOCK_ROW = "ip string, blocked_us bigint, last_hit_us bigint, hits bigint, expires_us bigint"
 
 
-class PortScan(StatefulProcessor):
-    """The last window of (time, port) touches per source; old ones are pruned each batch.
+def _active(source: np.ndarray, start: np.ndarray, stop: np.ndarray, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many intervals [start, stop] of its source hold each asked time."""
+    who = np.concatenate([source, source, asked])
+    when = np.concatenate([start, stop + 1, at])
+    change = np.concatenate([np.ones(len(start), np.int64), -np.ones(len(stop), np.int64), np.zeros(len(at), np.int64)])
+    order = np.lexsort((np.arange(len(who)) >= 2 * len(source), when, who))  # questions after the changes of their time
+    running = np.zeros(len(who), np.int64)
+    running[order] = np.cumsum(change[order])  # the changes of a source sum to nothing
+    return running[2 * len(source) :]
 
-    The distinct count at a row is a two-pointer sweep: ports enter at their touch and
-    leave when their latest touch is older than the window.
+
+class SlidingRules(Replay):
+    """Distinct ports and half-open flows of each source in [t - window, t], flows in order of their start.
+
+    ``lag_us`` is how far behind the watermark a flow may still start.  Kept are the touches of the last
+    window, by (source, port, time); a timer drops the last ones once the watermark has left them behind.
     """
 
-    def __init__(self, window_us: int, ports: int):
+    def __init__(self, window_us: int, ports: int, lag_us: int):
+        super().__init__("start_us", lag_us)
         self.window_us, self.ports = window_us, ports
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.touches = handle.getListState("touches", "ts bigint, port int")
+    def advance(self, released, kept, until_us):
+        columns = ["src_ip", "dst_port", "start_us", "candidate"]
+        out = None
+        if len(released):
+            out = released.sort_values("start_us", kind="stable").reset_index(drop=True)
+            known = out[["src_ip", "dst_port", "start_us"]].assign(candidate=False)
+            rows = pd.concat([kept, known], ignore_index=True) if kept is not None else known
+            source = pd.factorize(rows["src_ip"], use_na_sentinel=False)[0]
+            own = slice(len(rows) - len(out), None)
+            t, port = rows["start_us"].to_numpy(np.int64), rows["dst_port"].to_numpy(np.int64)
+            out["scan_ports"] = np.where(port[own] > 0, self._ports(source, port, t, own), 0)
+            scans = (port[own] > 0) & (out["scan_ports"].to_numpy() >= self.ports)
+            rows.loc[rows.index[own], "candidate"] = out["syn_like"].to_numpy(bool) & ~scans
+            flood = rows["candidate"].to_numpy(bool)
+            counts = _active(source[flood], t[flood], t[flood] + self.window_us, source[own], t[own])
+            out["syn_flows"] = np.where(flood[own], counts, 0)
+            kept = rows[columns]
+        if kept is not None:
+            kept = kept[kept["start_us"] > until_us - self.window_us]
+        again = int(kept["start_us"].max()) + self.window_us + self.delay_us if kept is not None and len(kept) else None
+        return out, kept, again
+
+    def _ports(self, source: np.ndarray, port: np.ndarray, t: np.ndarray, own: slice) -> np.ndarray:
+        """Touches of one port no further apart than the window are one interval."""
+        touched = np.flatnonzero(port > 0)
+        order = touched[np.lexsort((t[touched], port[touched], source[touched]))]
+        s, p, when = source[order], port[order], t[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (np.diff(when) > self.window_us)
+        last = np.append(first[1:], True)[: len(order)]
+        return _active(s[first], when[first], when[last] + self.window_us, source[own], t[own])
+
+
+#: What the rules ask of a flow.
+RULED = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us", "last_us", "syn_count", *FEATURE_COLUMNS]
+
+
+def sliding_counts(flows: DataFrame, window_us: int, ports: int, lag_us: int, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``scan_ports`` and ``syn_flows`` to a stream of flows with a watermark and ``syn_like``."""
+    use_rocksdb(flows.sparkSession)
+    kept = [f for f in flows.schema if f.name not in ("ts", "ended_ts")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", scan_ports bigint, syn_flows bigint"
+    return replayed(flows.select("*", bucket("src_ip", buckets=buckets)), SlidingRules(window_us, ports, lag_us), schema)
 
-    def close(self) -> None:
-        pass
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["start_us"], kind="stable")
-        old = list(self.touches.get()) if self.touches.exists() else []
-        new = frame.loc[frame["dst_port"] > 0, ["start_us", "dst_port"]]
-        t = np.array([x[0] for x in old] + new["start_us"].tolist(), dtype=np.int64)
-        port = np.array([x[1] for x in old] + new["dst_port"].tolist(), dtype=np.int64)
-        order = np.argsort(t, kind="stable")
-        t, port = t[order], port[order]
-        counts, held, head, tail = {}, {}, 0, 0
-        for now in np.unique(frame["start_us"].to_numpy()):
-            while head < len(t) and t[head] <= now:
-                held[port[head]] = held.get(port[head], 0) + 1
-                head += 1
-            while tail < head and t[tail] < now - self.window_us:
-                held[port[tail]] -= 1
-                if not held[port[tail]]:
-                    del held[port[tail]]
-                tail += 1
-            counts[now] = len(held)
-        keep = t >= frame["start_us"].iloc[-1] - self.window_us
-        kept = [(int(a), int(b)) for a, b in zip(t[keep], port[keep])]
-        if kept:
-            self.touches.put(kept)
-        else:
-            self.touches.clear()
-        seen = frame["start_us"].map(counts).where(frame["dst_port"] > 0, 0).astype("int64")
-        out = frame[["dst_ip", "src_port", "dst_port", "protocol", "start_us"]].assign(src_ip=key[0], scan_ports=seen)
-        yield out.assign(port_scan=(out["dst_port"] > 0) & (seen >= self.ports))
+def stream_rules(flows: DataFrame, window_us: int, ports: int, active_us: int) -> DataFrame:
+    """Rule verdicts of the flows of :func:`flowspark.streaming.flows.stream_flows`, every rule included.
+
+    A flow is judged when the watermark is ``active_us`` past its start: every flow that started no
+    later is known by then, so the verdicts are those of the batch rules.
+    """
+    asked = flows.select(*RULED, "ended_ts", rules.syn_like().alias("syn_like"))
+    counted = sliding_counts(asked, window_us, ports, active_us).drop("syn_like")
+    return rules.rule_verdicts(rules.flag_syn_flood(rules.flag_port_scan(counted, ports)), window_us)
 
 
-def stream_port_scan(flows: DataFrame, window_us: int, ports: int) -> DataFrame:
-    """Port-scan verdicts on a flow stream, ``[t - window, t]`` per source across batches."""
-    use_rocksdb(flows.sparkSession)
-    columns = flows.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us")
-    return columns.groupBy("src_ip").transformWithStateInPandas(
-        statefulProcessor=PortScan(window_us, ports), outputStructType=SCAN_ROW, outputMode="Append", timeMode="None"
-    )
+def stream_port_scan(flows: DataFrame, window_us: int, ports: int, delay_us: int = 0) -> DataFrame:
+    """Port-scan verdicts on a stream of finished flows that start in order within ``delay_us``."""
+    timed = with_event_time(flows.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us"), delay_us, "start_us")
+    counted = sliding_counts(timed.withColumn("syn_like", F.lit(False)), window_us, ports, 0)
+    return rules.flag_port_scan(counted, ports).drop("syn_like", "syn_flows")
 
 
 class BlockList(StatefulProcessor):

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import evidence, flows, respond, rules
 from flowspark.operators import ledger as lg
-from flowspark.schemas import PACKET
+from flowspark.schemas import FEATURE_COLUMNS, PACKET
 from flowspark.session import fresh_dir
+from flowspark.streaming import evidence as se
+from flowspark.streaming import feed
 from flowspark.streaming import flows as sf
 from flowspark.streaming import ledger as sl
 from flowspark.streaming import source, state
@@ -50,6 +52,94 @@ def test_flow_stream_equals_batch(spark, packets, parts):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def _disordered(spark, frame, path, time, delay, parts, seed=5):
+    """Rows land up to ``delay`` late, in ``parts`` files, each in any order."""
+    rng = random.Random(seed)
+    rows = sorted((r[time] + rng.randrange(delay), i, r) for i, r in enumerate(frame.collect()))
+    first, span = rows[0][0], rows[-1][0] - rows[0][0] + 1
+    for k in range(parts):
+        part = [r for at, _, r in rows if (at - first) * parts // span == k]
+        rng.shuffle(part)
+        spark.createDataFrame(part, frame.schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_disordered_packets_give_the_batch_flows_windows_and_verdicts(spark, packets):
+    """Flows, features, handshakes, closed windows and rules behind one disordered packet stream."""
+    frame = _traffic(packets)
+    path = fresh_dir(spark, "landed")
+    _disordered(spark, frame, path, "ts_us", 6 * S, 4)
+    stream = lambda: sf.stream_flows(source.stream_packets(spark, path, files_per_trigger=1), 8 * S, 25 * S, 6 * S, buckets=3)
+    table = flows.flow_features(flows.assemble_flows(frame, 8 * S, 25 * S))
+    windows = {r.window: tuple(r) for r in source.drain(sf.stream_flow_windows(stream(), 15 * S, 8 * S), "windows").collect()}
+    latest = frame.agg(F.max("ts_us")).first()[0] - 6 * S
+    ends = table.groupBy(F.floor(F.col("last_us") / (15 * S)).alias("window")).agg(
+        F.count(F.lit(1)).alias("flows"), F.sum(F.col("fwd_packets") + F.col("bwd_packets")).alias("packets"), F.max("last_us").alias("latest_us")
+    )
+    assert windows == {r.window: tuple(r) for r in ends.collect() if (r.window + 1) * 15 * S + 8 * S <= latest}
+    assert len(windows) > 10
+
+    source.heartbeat(spark, FAR).coalesce(1).write.mode("append").parquet(path)
+    extra = ["handshake_complete", "handshake_latency_us", *[c for c in FEATURE_COLUMNS if c not in COLUMNS]]
+    seen = source.drain(stream().select(*COLUMNS, *extra), "flows").collect()
+    want = flows.handshake(flows.assemble_flows(frame, 8 * S, 25 * S), table).select(*COLUMNS, *extra).collect()
+    assert sorted(map(str, seen)) == sorted(map(str, want))
+    assert any(r.handshake_complete for r in seen)
+
+    verdicts = source.drain(state.stream_rules(stream(), 60 * S, 2, 25 * S), "verdicts")
+    got = verdicts.select("src_ip", "src_port", "start_us", "scan_ports", "syn_flows", "rule_threat", "rule_reason").collect()
+    batch = rules.evaluate_rules(table, 60 * S, 2)
+    assert sorted(map(str, got)) == sorted(map(str, batch.select("src_ip", "src_port", "start_us", "scan_ports", "syn_flows", "rule_threat", "rule_reason").collect()))
+    assert {r.rule_threat for r in got} > {None}
+
+
+def test_rule_state_is_empty_after_the_last_heartbeat(spark):
+    rows = [(f"10.0.0.{i % 3}", "b", 1, i % 5, "tcp", (i + 1) * S) for i in range(40)] + [("", "", 0, 0, source.HEARTBEAT, FAR)]
+    frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, src_port int, dst_port int, protocol string, start_us bigint")
+    path, out = fresh_dir(spark, "landed"), fresh_dir(spark, "scan")
+    _land(spark, frame, path, 1, "start_us")
+    stream = state.stream_port_scan(source.stream_packets(spark, path, frame.schema, files_per_trigger=1), 5 * S, 4)
+    query = source.deliver(stream, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/{batch}"), f"{out}/progress")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{out}/[0-9]*").count() == 40
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_streamed_evidence_equals_batch_and_keeps_bare_alerts(spark, packets):
+    frame = _traffic(packets)
+    rows = [(f"a{i}", "10.0.0.1", "10.0.0.2", 40000 + i % 2, 80, "tcp", (1000 + 9 * i) * S, (1003 + 9 * i) * S) for i in range(30)]
+    rows += [("bare", "10.9.9.9", "10.0.0.2", 40000, 80, "tcp", 1010 * S, 1020 * S)]
+    alerts = spark.createDataFrame(rows, "alert_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, start_us bigint, alert_us bigint")
+    left, right = fresh_dir(spark, "alerts"), fresh_dir(spark, "packets")
+    _disordered(spark, alerts, left, "alert_us", 6 * S, 3)
+    _disordered(spark, frame, right, "ts_us", 6 * S, 3)
+    spark.createDataFrame([(None, "", "", 0, 0, "", FAR, FAR)], alerts.schema).coalesce(1).write.mode("append").parquet(left)
+    source.heartbeat(spark, FAR).coalesce(1).write.mode("append").parquet(right)
+    streamed = se.stream_evidence(
+        source.stream_packets(spark, left, alerts.schema, files_per_trigger=1), source.stream_packets(spark, right, files_per_trigger=1),
+        longest_us=20 * S, pad_us=2 * S, delay_us=6 * S,
+    )
+    got = source.drain(streamed.select("alert_id", "seq").where("alert_id IS NOT NULL"), "evidence").collect()
+    want = evidence.evidence(alerts, frame, 2 * S, 10 * S).select("alert_id", "seq").collect()
+    assert len(want) > 30 and {r.alert_id for r in got if r.seq is None} >= {"bare"}
+    assert sorted((r.alert_id, r.seq) for r in got if r.seq is not None) == sorted(map(tuple, want))
+
+
+def test_feed_delivers_each_alert_once(spark):
+    path = fresh_dir(spark, "feed")
+    frame = spark.range(20).withColumn("ts_us", 100 - F.col("id"))
+    sink = feed.feed_sink(path, ["ts_us"])
+    sink(frame.where("id < 7"), 0)
+    sink(frame.where("id < 7"), 0)  # delivered again after its commit
+    frame.withColumn("feed_no", F.lit(1).cast("bigint")).write.parquet(f"{path}/alerts/batch_id=1")  # broken off before its commit
+    assert feed.read_feed(spark, path, frame.schema).count() == 7
+    sink(frame.where("id BETWEEN 7 AND 11"), 1)
+    sink(frame.where("id < 0"), 2)
+    sink(frame.where("id > 11"), 3)
+    got = feed.read_feed(spark, path, frame.schema).orderBy("feed_no").collect()
+    assert [r.feed_no for r in got] == list(range(1, 21))
+    assert [r.id for r in got] == [*range(6, -1, -1), *range(11, 6, -1), *range(19, 11, -1)]
+
+
 def test_without_heartbeat_open_flows_stay_open(spark, packets):
     frame = packets((10, {}), (11, {}), (100, dict(src_port=7)))
     path = fresh_dir(spark, "landed")
@@ -70,7 +160,7 @@ def test_windows_close_in_order(spark):
 @pytest.mark.parametrize("parts", [1, 4])
 def test_scan_and_block_streams_equal_batch(spark, parts):
     rng = random.Random(4)
-    rows = [(rng.choice("aab"), str(i), 1, rng.choice([0, 1, 2, 3, 4]), "tcp", i * S) for i in range(60)]
+    rows = [(rng.choice("aab"), str(i), 1, rng.choice([0, 1, 2, 3, 4]), "tcp", (i + 1) * S) for i in range(60)]
     frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, src_port int, dst_port int, protocol string, start_us bigint")
     path = fresh_dir(spark, "landed")
     _land(spark, frame, path, parts, "start_us")
