@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.packets import tcp_flag
 from flowspark.operators.flows import CONVERSATION, conversation_key, with_features
-from flowspark.streaming.replay import BUCKETS, Replay, bucket, replayed
+from flowspark.streaming.replay import Replay, bucket, replayed
 from flowspark.streaming.source import use_rocksdb, with_event_time
 
 #: What is summed per side, and the packets' marks.
@@ -194,7 +194,7 @@ class FlowAssembler(Replay):
         )
 
 
-def stream_flows(packets: DataFrame, idle_us: int, active_us: int, delay_us: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+def stream_flows(packets: DataFrame, idle_us: int, active_us: int, delay_us: int | None = None, buckets: int | None = None) -> DataFrame:
     """Completed flows of a packet stream, each emitted once when it is final, with the sixteen features.
 
     Packets may come in any order within ``delay_us`` (the idle timeout unless given) behind the latest
@@ -207,7 +207,7 @@ def stream_flows(packets: DataFrame, idle_us: int, active_us: int, delay_us: int
     filled = packets.na.fill({"src_ip": "", "dst_ip": "", "src_port": 0, "dst_port": 0, "length": 0})
     marks = {"syn": syn & ~ack, "syn_ack": syn & ack, "ack": ack & ~syn, "rst": tcp & tcp_flag(flags, "RST"), "fin": tcp & tcp_flag(flags, "FIN")}
     keyed = conversation_key(with_event_time(filled, idle_us if delay_us is None else delay_us)).select(
-        bucket(*CONVERSATION, buckets=buckets), *CONVERSATION, "ts", "ts_us", "seq", "from_lo", F.col("length").cast("bigint").alias("bytes"),
+        bucket(packets.sparkSession, *CONVERSATION, buckets=buckets), *CONVERSATION, "ts", "ts_us", "seq", "from_lo", F.col("length").cast("bigint").alias("bytes"),
         *[F.coalesce(c, F.lit(False)).alias(n) for n, c in marks.items()],
     )
     return with_features(replayed(keyed, FlowAssembler(idle_us, active_us), FLOW_ROW, "ended_ts"))

@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowspark.streaming.source import HEARTBEAT
 
-#: Keys are dealt to so many buckets; one bucket is handled at a time by array operations.
-BUCKETS = 64
+#: Keys are dealt to so many buckets per shuffle partition; a bucket is handled at a time, by array operations.
+BUCKETS = 2
 
 
-def bucket(*keys: str, buckets: int = BUCKETS) -> Column:
+def bucket(spark: SparkSession, *keys: str, buckets: int | None = None) -> Column:
+    """The bucket of a key; the number of buckets must stay the same when a query goes on from its progress."""
+    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
 
 

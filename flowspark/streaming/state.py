@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowspark.operators import rules
 from flowspark.schemas import FEATURE_COLUMNS
-from flowspark.streaming.replay import BUCKETS, Replay, bucket, replayed
+from flowspark.streaming.replay import Replay, bucket, replayed
 from flowspark.streaming.source import use_rocksdb, with_event_time
 
 BLOCK_ROW = "ip string, blocked_us bigint, last_hit_us bigint, hits bigint, expires_us bigint"
@@ -77,12 +77,12 @@ class SlidingRules(Replay):
 RULED = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us", "last_us", "syn_count", *FEATURE_COLUMNS]
 
 
-def sliding_counts(flows: DataFrame, window_us: int, ports: int, lag_us: int, buckets: int = BUCKETS) -> DataFrame:
+def sliding_counts(flows: DataFrame, window_us: int, ports: int, lag_us: int, buckets: int | None = None) -> DataFrame:
     """Adds ``scan_ports`` and ``syn_flows`` to a stream of flows with a watermark and ``syn_like``."""
     use_rocksdb(flows.sparkSession)
     kept = [f for f in flows.schema if f.name not in ("ts", "ended_ts")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", scan_ports bigint, syn_flows bigint"
-    return replayed(flows.select("*", bucket("src_ip", buckets=buckets)), SlidingRules(window_us, ports, lag_us), schema)
+    return replayed(flows.select("*", bucket(flows.sparkSession, "src_ip", buckets=buckets)), SlidingRules(window_us, ports, lag_us), schema)
 
 
 def stream_rules(flows: DataFrame, window_us: int, ports: int, active_us: int) -> DataFrame:
