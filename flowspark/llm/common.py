@@ -49,6 +49,27 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, each deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_dir(self.spark, name)
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for kept in tables:
+            _, path = self.paths.pop(id(kept), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` to ``(node, root)``, root the smallest node.
 

@@ -125,17 +125,47 @@ def _edited(seed):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("centres", [1, 4])
-def test_shingle_sets(spark, docs, doc_rows, no_docs, centres):
-    got = shingle_sets.near_duplicates(docs, centres=centres).select("doc_id", "component_id").collect()
+@pytest.mark.parametrize("growth", [2, 8])
+def test_shingle_sets(spark, docs, doc_rows, no_docs, growth):
+    got = shingle_sets.near_duplicates(docs, growth=growth).select("doc_id", "component_id").collect()
     same(got, _similar(once(doc_rows)))
     rows = list(enumerate(_edited(5)))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = shingle_sets.near_duplicates(frame, centres=centres).select("doc_id", "component_id").collect()
+    got = shingle_sets.near_duplicates(frame, growth=growth).select("doc_id", "component_id").collect()
     same(got, _similar(rows))
     assert shingle_sets.near_duplicates(no_docs).count() == 0
 
 
+def test_stock_paragraphs_take_few_rounds(spark, monkeypatch):
+    """Documents of six out of twelve paragraphs share every shingle with many and are close to few."""
+    rng = np.random.default_rng(3)
+    stock = [" ".join(f"s{p}w{i}" for i in range(30)) for p in range(12)]
+    rounds, inner = [], shingle_sets._linked
+
+    def counted(*args):
+        roots, n = inner(*args)
+        rounds.append(n)
+        return roots, n
+
+    monkeypatch.setattr(shingle_sets, "_linked", counted)
+    for size in (60, 400):
+        rows = [(i, " ".join(stock[p] for p in rng.permutation(12)[:6])) for i in range(size)]
+        got = shingle_sets.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+        same(got, _similar(rows))
+    assert rounds[1] <= rounds[0] + 1 <= 5
+
+
+def test_segment_counts_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (3, 40, 600, 9000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        for changed in (1, n // 5 + 1, n):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**63, changed + n // 7, dtype=np.uint64)]))
+            x, y = (np.frombuffer(shingle_sets._segment_counts(len(t), t), np.uint8).astype(int)[None] for t in (a, b))
+            width = min(x.shape[1], y.shape[1])
+            assert np.abs(shingle_sets._folded(x, width) - shingle_sets._folded(y, width)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_near_duplicates_stage(spark):
     """Copies with a few of 200 words changed go; the SimHash parameters of op5 left them."""
     rng = np.random.default_rng(8)
