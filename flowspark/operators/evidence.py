@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.hashing import canonical_json, fixed, sha256_text
+from flowspark.functions.hashing import canonical_json, exact, fixed, sha256_text
 from flowspark.operators.ordered import ROWS_PER_TASK, ordered
 from flowspark.session import checkpointed
 
@@ -179,6 +179,6 @@ def state_hash(columns: dict[str, Column]) -> Column:
         if name in STATE_NUMBERS:
             value = fixed(value)
         elif name == "features":
-            value = F.transform(value, lambda x: fixed(x))
+            value = F.transform(value, exact)
         fields[name] = value
     return sha256_text(canonical_json(fields))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.numeric import signed_log1p
 from flowspark.functions.packets import is_internal, node_role
 from flowspark.operators.ordered import ROWS_PER_TASK, ordered
+from flowspark.session import checkpointed
 
 
 def endpoints(flows: DataFrame, keep: list[str]) -> DataFrame:
@@ -130,6 +131,23 @@ def snapshot_edges(flows: DataFrame, dim: DataFrame, window: Column, ts: str) ->
     return rows.select("window", "src_id", "dst_id", F.col(ts).alias("edge_us"))
 
 
+def snapshot_export(flows: DataFrame, window: Column, ts: str, attributes: list[str], limit: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each window for a dense tensor: ``window, node, ip`` with nodes numbered from 0 in
+    the order of their addresses, and ``window, src, dst, edge_us, attributes``.
+
+    A window's numbers are running counts over its distinct addresses, cut by position where a window
+    is large; edges find their ends by (window, address).
+    """
+    rows = flows.withColumn("window", window)
+    ends = rows.select("window", F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+    nodes = ordered(ends, ["window"], ["ip"], limit).running(_n=("sum", F.lit(1).cast("bigint"))).done()
+    nodes = checkpointed(nodes.select("window", (F.col("_n") - 1).alias("node"), "ip"))
+    number = lambda end, name: nodes.select("window", F.col("node").alias(name), F.col("ip").alias(end))
+    joined = rows.join(number("src_ip", "src"), ["window", "src_ip"]).join(number("dst_ip", "dst"), ["window", "dst_ip"])
+    values = F.array(*[F.col(c).cast("double") for c in attributes])
+    return nodes, joined.select("window", "src", "dst", F.col(ts).alias("edge_us"), values.alias("attributes"))
+
+
 def snapshot_nodes(stats: DataFrame, dim: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Node versions: the frozen counters hold from ``window`` through ``valid_to``.
 

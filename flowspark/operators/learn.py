@@ -1,29 +1,41 @@
-"""Baselines on Spark ML: weighted logistic, one hidden layer, stage classifier, scoring."""
+"""Baselines: weighted logistic and stage classifier on Spark ML, a weighted hidden layer, scoring."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators import evaluate, prepare
 from flowspark.schemas import STAGES
+from flowspark.session import checkpointed, materialized
 
 HIDDEN = 64
 
 
-def log_features(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumns({f"log_{c}": F.log1p(c) for c in features})
+@dataclass
+class Fitted:
+    """A model with the scaler of its training rows (one row)."""
+
+    scaler: DataFrame
+    model: object
+
 
+def scaled(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
+    """Adds ``x``: log features under the training scaler, whose deviation has a floor."""
+    rows = prepare.apply_scaler(df, scaler, features)
+    return rows.withColumn("x", F.array(*[f"scaled_{c}" for c in features])).drop(*[f"scaled_{c}" for c in features])
 
-def _inputs(features: list[str]) -> list:
-    return [
-        VectorAssembler(inputCols=[f"log_{c}" for c in features], outputCol="raw_vector"),
-        StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True, withStd=True),
-    ]
+
+def _fit_scaler(train: DataFrame, features: list[str]) -> DataFrame:
+    """The dataset scaler of the rows, computed once."""
+    return checkpointed(prepare.fit_scaler(train.withColumn("split", F.lit("train")), features))
 
 
 def with_weights(train: DataFrame, family: str | None = None) -> DataFrame:
@@ -37,39 +49,106 @@ def with_weights(train: DataFrame, family: str | None = None) -> DataFrame:
     return rows.join(per_family, family).withColumn("weight", F.col("weight") * F.col("_family")).drop("_family")
 
 
-def fit_logistic(train: DataFrame, features: list[str], iterations: int = 30) -> PipelineModel:
+def fit_logistic(train: DataFrame, features: list[str], iterations: int = 30) -> Fitted:
     """Weighted logistic regression on scaled log features (``label``, ``weight``)."""
     lr = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=iterations, regParam=1e-4, standardization=False)
-    return Pipeline(stages=[*_inputs(features), lr]).fit(log_features(train, features))
-
+    scaler = _fit_scaler(train, features)
+    return Fitted(scaler, lr.fit(scaled(train, scaler, features).withColumn("vector", array_to_vector("x"))))
 
-def fit_mlp(train: DataFrame, features: list[str], hidden: int = HIDDEN, iterations: int = 30, seed: int = 42) -> PipelineModel:
-    """One hidden layer.  Spark's network has no row weights, so the fit is unweighted."""
-    net = MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[len(features), hidden, 2], maxIter=iterations, seed=seed)
-    return Pipeline(stages=[*_inputs(features), net]).fit(log_features(train, features))
 
-
-def fit_stage(train: DataFrame, features: list[str], iterations: int = 30) -> PipelineModel:
+def fit_stage(train: DataFrame, features: list[str], iterations: int = 30) -> Fitted:
     """Multinomial stage classifier over rows whose stage is known, capped class weights."""
     known = train.where("stage IS NOT NULL")
     weights = prepare.stage_weights(known).select("stage", F.col("weight").alias("stage_weight"))
     rows = known.join(F.broadcast(weights), "stage").withColumn("stage_label", F.col("stage").cast("double"))  # eight rows
     lr = LogisticRegression(
         featuresCol="vector", labelCol="stage_label", weightCol="stage_weight", family="multinomial", maxIter=iterations, regParam=1e-4,
-        probabilityCol="stage_probability", predictionCol="stage_prediction", rawPredictionCol="stage_raw",
+        standardization=False, probabilityCol="stage_probability", predictionCol="stage_prediction", rawPredictionCol="stage_raw",
     )
-    return Pipeline(stages=[*_inputs(features), lr]).fit(log_features(rows, features))
+    scaler = _fit_scaler(known, features)
+    return Fitted(scaler, lr.fit(scaled(rows, scaler, features).withColumn("vector", array_to_vector("x"))))
+
+
+@dataclass
+class HiddenLayer:
+    """tanh units between the inputs and one logistic output."""
+
+    w1: np.ndarray
+    b1: np.ndarray
+    w2: np.ndarray
+    b2: float
+
+    @classmethod
+    def fresh(cls, inputs: int, hidden: int, seed: int) -> HiddenLayer:
+        rng = np.random.default_rng(seed)
+        return cls(rng.normal(0, inputs**-0.5, (inputs, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0)
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w1.ravel(), self.b1, self.w2, [self.b2]])
 
-def score(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
+    def moved(self, flat: np.ndarray) -> HiddenLayer:
+        a, h = self.w1.size, len(self.b1)
+        return HiddenLayer(flat[:a].reshape(self.w1.shape), flat[a : a + h], flat[a + h : a + 2 * h], float(flat[-1]))
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2, -50, 50)))
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of the weighted logistic loss summed over the rows, with the sum of weights at its end."""
+        unit = np.tanh(x @ self.w1 + self.b1)
+        error = weight * (1 / (1 + np.exp(-np.clip(unit @ self.w2 + self.b2, -50, 50))) - y)
+        back = error[:, None] * self.w2 * (1 - unit * unit)
+        return np.concatenate([(x.T @ back).ravel(), back.sum(0), unit.T @ error, [error.sum(), weight.sum()]])
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
+
+
+def fit_hidden(train: DataFrame, features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42) -> Fitted:
+    """One hidden layer with row weights, by Adam on the whole weighted gradient.
+
+    Every epoch is one pass over the rows: tasks sum the gradients of their own rows, the partial sums are
+    added up by position, and as many numbers as the layer has reach the driver.
+    """
+    scaler = _fit_scaler(train, features)
+    rows = materialized(scaled(train, scaler, features).select("x", F.col("label").cast("double").alias("y"), F.col("weight").cast("double").alias("weight")), "hidden-rows")
+    layer = HiddenLayer.fresh(len(features), hidden, seed)
+    first, second = np.zeros(len(layer.flat())), np.zeros(len(layer.flat()))
+    for epoch in range(1, epochs + 1):
+
+        def partial(batches, layer=layer):
+            total = np.zeros(len(layer.flat()) + 1)
+            for batch in batches:
+                total += layer.gradient(_matrix(batch.column("x")), np.asarray(batch.column("y")), np.asarray(batch.column("weight")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "g"])
+
+        summed = rows.mapInArrow(partial, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toArrow().sort_by("k").column("g").to_numpy()
+        g = summed[:-1] / max(summed[-1], 1e-12) + decay * layer.flat()
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        step = rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
+        layer = layer.moved(layer.flat() - step)
+    return Fitted(scaler, layer)
+
+
+def score(df: DataFrame, fitted: Fitted, features: list[str]) -> DataFrame:
     """Add the attack probability ``p``."""
-    out = model.transform(log_features(df, features))
-    return out.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+    rows = scaled(df, fitted.scaler, features)
+    if not isinstance(fitted.model, HiddenLayer):
+        out = fitted.model.transform(rows.withColumn("vector", array_to_vector("x")))
+        return out.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+    layer = fitted.model
+
+    @F.pandas_udf("double")
+    def probability(x: pd.Series) -> pd.Series:
+        return pd.Series(layer.probability(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
+
+    return rows.select(*df.columns, probability("x").alias("p"))
 
 
-def score_stage(df: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
+def score_stage(df: DataFrame, fitted: Fitted, features: list[str]) -> DataFrame:
     """Add ``probs``, padded to all stages, and ``stage_pred``."""
-    out = model.transform(log_features(df, features))
+    out = fitted.model.transform(scaled(df, fitted.scaler, features).withColumn("vector", array_to_vector("x")))
     found = vector_to_array("stage_probability")
     padded = F.transform(F.sequence(F.lit(0), F.lit(len(STAGES) - 1)), lambda i: F.coalesce(F.get(found, i), F.lit(0.0)))
     return out.select(*df.columns, padded.alias("probs"), F.col("stage_prediction").cast("int").alias("stage_pred"))

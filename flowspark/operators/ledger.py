@@ -41,17 +41,18 @@ def recomputed_roots(blocks: DataFrame) -> DataFrame:
     return merkle_root(leaves, ["block_index"]).select("block_index", F.col("root").alias("_root"), F.col("leaves").alias("_leaves"))
 
 
-def verify_ledger(blocks: DataFrame, roots: DataFrame | None = None, limit: int = ROWS_PER_TASK) -> DataFrame:
+def verify_ledger(blocks: DataFrame, roots: DataFrame | None = None, limit: int = ROWS_PER_TASK, order: tuple[str, ...] = ("block_index",)) -> DataFrame:
     """Every block with ``reason``, the first failed check, NULL when it verifies.
 
     Comparisons are null-safe: a missing hash, parent, root or index fails its check.
 
     ``roots`` (block_index, _root, _leaves) may be given when the leaves live in a table
-    of their own instead of ``leaf_hashes``.
+    of their own instead of ``leaf_hashes``.  ``order`` is the order the blocks stand in: with
+    ``("file", "line")`` of a scanned ledger, blocks that were swapped fail their sequence.
     """
     if roots is None:
         roots = recomputed_roots(blocks)
-    rows = ordered(blocks, [], ["block_index"], limit)
+    rows = ordered(blocks, [], list(order), limit)
     rows = rows.lag(_prev_hash="block_hash").running(_no=("sum", F.lit(1).cast("bigint"))).done()
     joined = rows.join(roots, "block_index", "left")
     genesis = F.coalesce("_prev_hash", F.lit(GENESIS))

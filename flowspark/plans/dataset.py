@@ -111,7 +111,7 @@ def unknown_event_labels(spark, sf):
 
 def event_fingerprints(spark, sf):
     flows = v.flows_v(spark, sf)
-    digest = hashing.event_fingerprint(F.col("src_ip"), F.col("dst_ip"), F.col("last_us"), [F.col(c) for c in FEATURE_COLUMNS[:7]])
+    digest = hashing.event_fingerprint(F.col("src_ip"), F.col("dst_ip"), F.col("last_us"), [F.col(c) for c in FEATURE_COLUMNS])
     return flows.select(*v.FLOW_IDENTITY, digest.alias("fingerprint"))
 
 
@@ -246,7 +246,8 @@ def _pairs(name: str, condition: str) -> str:
       (SELECT {name}, count(*) AS n FROM rows_c r WHERE r.file = f.file AND {condition} GROUP BY 1) x)"""
 
 
-_FP = ", ".join(f"CAST(CAST(round({c}, 6) AS DECIMAL(38, 6)) AS VARCHAR)" for c in FEATURE_COLUMNS[:7])
+# Hexadecimal floats as the JVM writes them: a fraction always, no plus before the exponent.
+_FP = ", ".join(f"regexp_replace(replace(format('{{{{:a}}}}', CAST({c} AS DOUBLE)), 'p+', 'p'), '^(-?0x[0-9a-f])p', '\\1.0p')" for c in FEATURE_COLUMNS)
 ORACLE = {
     "header_names": """SELECT doc_id, length(n) AS chars, sha256(n) AS digest FROM
         (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS n FROM documents) d""",

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import socket
+import struct
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowspark.functions.text import canonical_label
 from flowspark.operators import calibrate, evaluate, evidence, filters, prepare
 from flowspark.operators.graph import batch_ordinals
 from flowspark.plans import records as rec
 from flowspark.plans import views as v
 from flowspark.schemas import FEATURE_COLUMNS, FEATURES, PACKET, SPLITS
 from flowspark.session import fresh_dir
-from flowspark.sources import artifacts, csvflows
+from flowspark.sources import artifacts, captures, csvflows
 from flowspark.sources import records as files
 
 
@@ -24,13 +31,17 @@ def _labelled(spark, sf):
 
 
 def _csv(spark, sf, name):
+    """One folder of two column orders: TCP flows as they are, all others with the columns turned round."""
     path = fresh_dir(spark, name)
-    _labelled(spark, sf).drop("protocol").write.option("header", True).csv(path)
+    rows = _labelled(spark, sf)
+    columns = [c for c in rows.columns if c != "protocol"]
+    for part, order in ((rows.where("protocol = 'tcp'"), columns), (rows.where("protocol <> 'tcp'"), columns[::-1])):
+        part.select(order).write.mode("append").option("header", True).csv(path)
     return path
 
 
 def flow_csv_scan(spark, sf):
-    """Strict alias-resolved scan of all flows as CSV."""
+    """Strict alias-resolved scan of all flows as CSV files of two headers."""
     rows = csvflows.read_flow_csv(spark, _csv(spark, sf, "flow-csv"))
     return rows.select("src_ip", "dst_ip", "timestamp", "label", "fwd_packets", "bwd_packets", "fwd_bytes")
 
@@ -103,6 +114,125 @@ def quarantine_file(spark, sf):
     return kept.unionByName(read.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("rows")))
 
 
+def _frames(flavour: int):
+    """Packets as the lines of capture files of one of four kinds: the bytes of a file, cut at its line feeds.
+
+    Each file ends with a frame that is no IPv4 packet; files of kind 1 lack the last bytes of it.
+    """
+    order, link, ticks = [("<", 1, 10**6), (">", 101, 10**9), ("<", 1, 10**6), (">", 113, 10**6)][flavour]
+    before = {1: b"\0" * 12 + b"\x08\x00", 101: b"", 113: b"\0" * 14 + b"\x08\x00"}[link]
+    padded = lambda b: b + b"\0" * (-len(b) % 4)
+
+    def block(kind, body):
+        size = struct.pack(order + "I", len(body) + 12)
+        return struct.pack(order + "I", kind) + size + body + size
+
+    def record(micros, frame):
+        if flavour == 2:
+            return block(6, struct.pack(order + "IIIII", 0, micros >> 32, micros & 0xFFFFFFFF, len(frame), len(frame)) + padded(frame))
+        return struct.pack(order + "IIII", micros // 10**6, micros % 10**6 * (ticks // 10**6), len(frame), len(frame)) + frame
+
+    def packet(r):
+        payload = r["payload"] or b""
+        if r["protocol"] == "tcp":
+            body = struct.pack("!HHIIBBHHH", r["src_port"], r["dst_port"], 0, 0, 0x50, r["tcp_flags"], r["tcp_window"], 0, 0) + payload
+        else:
+            body = struct.pack("!HHHH", r["src_port"], r["dst_port"], 8 + len(payload), 0) + payload
+        ends = socket.inet_aton(r["src_ip"]) + socket.inet_aton(r["dst_ip"])
+        return before + struct.pack("!BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, r["ttl"], 6 if r["protocol"] == "tcp" else 17, 0) + ends + body
+
+    def run(batches):
+        if flavour == 2:
+            head = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack(order + "HHI", link, 0, 0))
+        else:
+            head = struct.pack(order + "IHHiIII", 0xA1B2C3D4 if ticks == 10**6 else 0xA1B23C4D, 2, 4, 0, 0, 65535, link)
+        kept, at = head, 0
+        for batch in batches:
+            kept += b"".join(record(r["ts_us"], packet(r)) for r in batch.to_pylist())
+            at = batch.column("ts_us")[-1].as_py() if batch.num_rows else at
+            *lines, kept = kept.split(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
+        # The decoy's last byte is a line feed, which the text writer adds.
+        kept += record(at, b"\x12" * 40 + b"\n\n\n\n")
+        kept = kept[:-9] if flavour == 1 else kept
+        lines = kept.split(b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array(lines[:-1] if not lines[-1] else lines, pa.binary())], ["value"])
+
+    return run
+
+
+def capture_scan(spark, sf):
+    """Packets written as capture files of four kinds, one of them cut off, beside a file that is none, and read back."""
+    path = fresh_dir(spark, "captures")
+    packets = v.packets_v(spark, sf).withColumn("tcp_flags", F.coalesce("tcp_flags", F.lit(0)))
+    for kind in range(4):
+        lines = packets.where(F.pmod("seq", F.lit(4)) == kind).mapInArrow(_frames(kind), "value binary")
+        lines.select(F.col("value").cast("string").alias("value")).write.mode("append").text(path)
+    spark.range(1).select(F.lit("no capture at all, but a line of text").alias("value")).write.mode("append").text(path)
+    rows = captures.scan_packets(spark, path)
+    found = rows.where("error IS NULL").groupBy(F.col("protocol").alias("kind"), "dst_port", "tcp_flags").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("ts_us").alias("times"), F.sum("ttl").alias("ttls"), F.sum(F.length("payload")).alias("payload_bytes"), F.countDistinct("src_ip").alias("sources")
+    )
+    odd = rows.where("error IS NOT NULL").select(F.col("error").alias("kind")).distinct()
+    return found.unionByName(odd, allowMissingColumns=True)
+
+
+def _headed(line: str):
+    """Lines behind a header line in every file."""
+
+    def run(batches):
+        yield pd.DataFrame({"value": [line]})
+        yield from batches
+
+    return run
+
+
+def quarantine_records(spark, sf):
+    """Damaged flow files scanned line by line: what is rejected keeps its file, record and raw text.
+
+    Of seventeen end times, one row lacks its last field, one label has a line break in quotes (which is
+    sound), one label is not known.
+    """
+    flows = _labelled(spark, sf).withColumn("_k", F.pmod(F.expr("CAST(replace(Timestamp, '.', '') AS BIGINT)"), F.lit(17)))
+    label = F.when(F.col("_k") == 5, F.lit('"SMB\nprobe"')).when(F.col("_k") == 7, "Mystery").otherwise(F.col("Label"))
+    fields = [F.col("`Src IP`"), F.col("`Dst IP`"), F.col("Timestamp"), label, *[F.col(f"`{f}`") for f in FEATURES]]
+    line = F.when(F.col("_k") == 3, F.concat_ws(",", *fields[:-1])).otherwise(F.concat_ws(",", *fields))
+    path, target = fresh_dir(spark, "damaged"), fresh_dir(spark, "quarantine")
+    header = ",".join(["Src IP", "Dst IP", "Timestamp", "Label", *FEATURES])
+    flows.select(line.alias("value")).mapInPandas(_headed(header), "value string").write.text(path)
+    rows = csvflows.read_record_csv(spark, path)
+    reason = F.coalesce(F.col("reason"), csvflows.known_label_reason(F.col("label"), [*csvflows.EXPORT_LABELS, "SMB probe"]))
+    ok, bad = filters.split_quarantine(rows.drop("reason"), reason)
+    csvflows.write_quarantine(bad.select("file", "record", "reason", "raw"), target)
+    read = spark.read.schema("file string, record bigint, reason string, raw string").json(target)
+    parts = F.split("raw", ",")
+    places = F.count(F.lit(1)).over(Window.partitionBy("file", "record"))
+    rejected = read.select("reason", parts[0].alias("src_ip"), parts[1].alias("dst_ip"), parts[2].alias("timestamp"), F.size(parts).alias("fields"), ((places == 1) & (F.col("record") > 1)).alias("placed"))
+    kept = ok.select(canonical_label(F.col("label")).alias("reason"), "src_ip", "dst_ip", "timestamp", F.lit(20).alias("fields"), (F.col("record") > 1).alias("placed"))
+    return rejected.unionByName(kept)
+
+
+def export_labels(spark, sf):
+    """Rows of every label in exported files of two headers."""
+    table = csvflows.label_inventory(spark, [_csv(spark, sf, "label-csv")])
+    return table.select("label", "rows")
+
+
+def ledger_lines(spark, sf):
+    """A written ledger verified in the order of its lines, and one with two lines swapped."""
+    from flowspark.operators import ledger as lg
+
+    leaves = v.leaves_v(spark, sf).groupBy(F.col("batch").alias("block_index")).agg(F.array_sort(F.collect_list(F.struct("pos", "leaf"))).alias("_l"))
+    blocks = rec._ledger(spark, sf).join(leaves, "block_index").withColumn("leaf_hashes", F.transform("_l", lambda x: x["leaf"]))
+    sound, swapped = fresh_dir(spark, "ledger-sound"), fresh_dir(spark, "ledger-swapped")
+    files.write_ledger(blocks, sound)
+    turn = F.when(F.col("line_no") == 4, 5).when(F.col("line_no") == 5, 4).otherwise(F.col("line_no"))
+    text = spark.read.text(sound).withColumn("line_no", F.get_json_object("value", "$.block_index").cast("bigint")).withColumn("_at", turn)
+    text.repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.text(swapped)
+    check = lambda path, name: lg.verify_ledger(files.read_ledger_lines(spark, path), order=("file", "line")).select(F.lit(name).alias("ledger"), "block_index", "reason")
+    return check(sound, "sound").unionByName(check(swapped, "swapped"))
+
+
 def ledger_file(spark, sf):
     """Ledger blocks as JSON lines with their leaf arrays, read back and verified."""
     from flowspark.operators import ledger as lg
@@ -190,7 +320,11 @@ QUERIES = {
         sequence_scan,
         source_fingerprints,
         prepared_dataset,
+        capture_scan,
         quarantine_file,
+        quarantine_records,
+        export_labels,
+        ledger_lines,
         ledger_file,
         report_file,
         window_state_file,
@@ -220,6 +354,15 @@ ORACLE = {
         FROM scored_v WHERE split = 'train' GROUP BY 1""",
     "quarantine_file": """SELECT event_type, CASE WHEN hour(ts) NOT BETWEEN 8 AND 18 THEN 'timestamp_outside_daytime_capture' WHEN value > 200 THEN 'invalid_numeric'
         ELSE 'ok' END AS reason, count(*) AS rows FROM events GROUP BY 1, 2""",
+    "capture_scan": f"""WITH {v.PACKETS} SELECT protocol AS kind, dst_port, tcp_flags, count(*) AS packets, CAST(sum(ts_us) AS BIGINT) AS times, CAST(sum(ttl) AS BIGINT) AS ttls,
+          CAST(sum(strlen(payload)) AS BIGINT) AS payload_bytes, count(DISTINCT src_ip) AS sources FROM packets_v GROUP BY 1, 2, 3
+        UNION ALL SELECT unnest(['no IPv4 packet', 'truncated record', 'unknown magic']), NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+    "quarantine_records": f"""{_F} SELECT CASE last_us % 17 WHEN 3 THEN 'row_width' WHEN 5 THEN 'SMB probe' WHEN 7 THEN 'unknown_label'
+          ELSE CASE WHEN dst_port = 445 THEN 'SMB probe' ELSE 'BENIGN' END END AS reason, src_ip, dst_ip,
+        (last_us // 1000000) || '.' || lpad(CAST(last_us % 1000000 AS VARCHAR), 6, '0') AS "timestamp", CASE WHEN last_us % 17 = 3 THEN 19 ELSE 20 END AS fields, true AS placed FROM flows_v""",
+    "export_labels": f"{_F} SELECT CASE WHEN dst_port = 445 THEN 'SMB probe' ELSE 'BENIGN' END AS label, count(*) AS rows FROM flows_v GROUP BY 1",
+    "ledger_lines": """WITH b AS (SELECT DISTINCT doc_id // 16 AS b FROM documents) SELECT 'sound' AS ledger, b AS block_index, CAST(NULL AS VARCHAR) AS reason FROM b
+        UNION ALL SELECT 'swapped', b, CASE WHEN b IN (4, 5) THEN 'index_sequence' WHEN b = 6 THEN 'previous_hash' END FROM b""",
     "ledger_file": """SELECT doc_id // 16 AS block_index, (1704067200 + (doc_id // 16) * 15) || '.5' AS "timestamp", count(*) AS leaf_count,
         CAST(NULL AS VARCHAR) AS reason FROM documents GROUP BY 1, 2""",
     "report_file": f"""WITH {v.SCORED}, c AS (SELECT split, count(*) AS events, count(*) FILTER (p >= 0.5 AND label = 1) AS tp,

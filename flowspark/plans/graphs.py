@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.packets import is_internal, node_role
 from flowspark.operators import graph
 from flowspark.plans import views as v
+from flowspark.schemas import FEATURE_COLUMNS
 
 ORDER = ["last_us", "start_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 BATCH, RESET = 200, 1000
@@ -21,9 +22,10 @@ def _batched(spark, sf, size=BATCH, reset=0):
 
 
 def node_roles(spark, sf):
-    """Role of every (address, port) seen, and whether the address is internal."""
+    """Role of every (address, port) that sent or received, and whether the address is internal."""
     packets = v.packets_v(spark, sf)
-    pairs = packets.select(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")).distinct()
+    ends = [F.struct(F.col(f"{e}_ip").alias("ip"), F.col(f"{e}_port").alias("port")) for e in ("src", "dst")]
+    pairs = packets.select(F.explode(F.array(*ends)).alias("e")).select("e.*").distinct()
     role = node_role(F.col("ip"), F.col("port"))
     return pairs.select("ip", "port", role.alias("r"), is_internal(F.col("ip")).alias("internal")).select("ip", "port", "internal", "r.*")
 
@@ -75,6 +77,14 @@ def snapshot_edges(spark, sf):
     return graph.snapshot_edges(flows, graph.node_dim(flows, ORDER), _window(), "last_us")
 
 
+def snapshot_export(spark, sf):
+    """Dense edge lists of every window with the sixteen features and times, ends named by their numbers' addresses."""
+    nodes, edges = graph.snapshot_export(v.flows_v(spark, sf), _window(), "last_us", FEATURE_COLUMNS)
+    sizes = nodes.groupBy("window").agg(F.count(F.lit(1)).alias("nodes"), F.max("node").alias("last_node"))
+    listed = edges.select("window", "src", "dst", "edge_us", *[F.round(F.get("attributes", F.lit(i)), 6).alias(c) for i, c in enumerate(FEATURE_COLUMNS)])
+    return listed.join(sizes, "window")
+
+
 def snapshot_nodes(spark, sf):
     flows = v.flows_v(spark, sf)
     return graph.snapshot_nodes(graph.node_stats(flows, _window()), graph.node_dim(flows, ORDER))
@@ -153,6 +163,7 @@ QUERIES = {
         node_vectors,
         window_states,
         snapshot_edges,
+        snapshot_export,
         snapshot_nodes,
         snapshot_sizes,
         tumbling_windows,
@@ -213,7 +224,7 @@ def _batches(size: int, reset: int = 0, key: str = "protocol") -> str:
 
 _D = 24 * v.HOUR
 ORACLE = {
-    "node_roles": f"""WITH {v.PACKETS}, p AS (SELECT DISTINCT dst_ip AS ip, dst_port AS port FROM packets_v), r AS (SELECT *, {_ROLE} AS role_name FROM p)
+    "node_roles": f"""WITH {v.PACKETS}, p AS (SELECT src_ip AS ip, src_port AS port FROM packets_v UNION SELECT dst_ip, dst_port FROM packets_v), r AS (SELECT *, {_ROLE} AS role_name FROM p)
         SELECT ip, port, ip LIKE '10.%' OR ip LIKE '192.168.%' AS internal, {_ROLE_NO} AS role, role_name FROM r""",
     "node_dimension": f"{_F}, {_dim()} SELECT * FROM dim",
     "node_dimension_by_protocol": f"{_F}, {_dim('protocol')} SELECT * FROM dim",
@@ -226,6 +237,11 @@ ORACLE = {
         {", ".join(f"round(avg(v{i:02d}), 6) AS v{i:02d}" for i in range(16))} FROM vecs GROUP BY 1""",
     "snapshot_edges": f"""{_F}, {_dim()} SELECT {_W} AS "window", a.node_id AS src_id, b.node_id AS dst_id, last_us AS edge_us FROM flows_v
         JOIN dim a ON a.ip = src_ip JOIN dim b ON b.ip = dst_ip""",
+    "snapshot_export": f"""{_F}, e AS (SELECT *, {_W} AS "window" FROM flows_v),
+        k AS (SELECT "window", ip, row_number() OVER (PARTITION BY "window" ORDER BY ip) - 1 AS node FROM (SELECT "window", src_ip AS ip FROM e UNION SELECT "window", dst_ip FROM e) u),
+        z AS (SELECT "window", count(*) AS nodes, max(node) AS last_node FROM k GROUP BY 1)
+        SELECT e."window", a.node AS src, b.node AS dst, last_us AS edge_us, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in FEATURE_COLUMNS)}, nodes, last_node
+        FROM e JOIN k a ON a."window" = e."window" AND a.ip = src_ip JOIN k b ON b."window" = e."window" AND b.ip = dst_ip JOIN z ON e."window" = z."window" """,
     "snapshot_nodes": f"""{_F}, {_dim()}, {_STATS} SELECT node_id, ip, role, "window", lead("window") OVER (PARTITION BY ip ORDER BY "window") - 1 AS valid_to,
         in_degree, out_degree, total_packets, internal, external FROM stats JOIN dim USING (ip)""",
     "snapshot_sizes": f"""{_F}, {_dim()}, e AS (SELECT {_W} AS "window", count(*) AS edges FROM flows_v GROUP BY 1)

@@ -36,7 +36,7 @@ def logistic_baseline(spark, sf):
 
 def hidden_layer_baseline(spark, sf):
     rows = _rows(spark, sf)
-    model = learn.fit_mlp(rows.where("split = 'train'"), FEATURES)
+    model = learn.fit_hidden(learn.with_weights(rows.where("split = 'train'")), FEATURES)
     return evaluate.binary_metrics(learn.score(rows.where("split = 'validation'"), model, FEATURES), 0.5, ["capture"])
 
 
@@ -47,13 +47,18 @@ def stage_classifier(spark, sf):
 
 
 def controlled_comparison(spark, sf):
-    """Plain and family-weighted fits on the same validation rows; test is never read."""
+    """Three hidden-layer arms on the same validation rows, test is never read: the first half of the
+    training captures, all of them, and all of them with family weights."""
     rows = _rows(spark, sf).where("split IN ('train', 'validation')")
     train, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
-    plain = learn.fit_logistic(learn.with_weights(train), FEATURES)
-    families = train.withColumn("family", F.when(F.col("label") == 0, "benign").otherwise(F.col("family")))
-    weighted = learn.fit_logistic(learn.with_weights(families, "family"), FEATURES)
-    return learn.compare_arms({"plain": learn.score(held, plain, FEATURES), "family": learn.score(held, weighted, FEATURES)})
+    train = train.withColumn("family", F.when(F.col("label") == 0, "benign").otherwise(F.col("family")))
+    low, high = train.agg(F.min("capture"), F.max("capture")).first()
+    arms = {
+        "one_dataset": learn.with_weights(train.where(F.col("capture") <= (low + high) // 2)),
+        "two_datasets": learn.with_weights(train),
+        "family_weights": learn.with_weights(train, "family"),
+    }
+    return learn.compare_arms({name: learn.score(held, learn.fit_hidden(part, FEATURES), FEATURES) for name, part in arms.items()})
 
 
 def holdout_modes(spark, sf):
@@ -69,7 +74,6 @@ def holdout_modes(spark, sf):
         (F.round(F.col("l_discount") * 100).cast("int") / F.lit(10.0)).alias("p"),
     )
     report = learn.run_protocol(rows, 0.1, (0.2, 0.4, 0.9), key, [32, 200], 2000)
-    report = report.where("scope <> 'cold'")
     names = ["mode", "scope", "threshold", "feasible", "conformal_q", "events", "tp", "fp", "fn", "tn", "above_quantile"]
     return report.select(*names, F.array_join("failed", ",").alias("failed"), "met")
 
@@ -127,7 +131,7 @@ _KEY = ", ".join(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *FEATU
 _ATTR = f"""lines AS (SELECT DISTINCT {_KEY} FROM lineitem),
 named AS (SELECT *, concat_ws('-', {_KEY}) AS row_key, {" + ".join(f"{w} * {c}" for c, w in LINEAR.items())} AS prediction FROM lines),
 attr AS ({" UNION ALL ".join(f"SELECT row_key, '{c}' AS feature, {w} * ({c} - {BASELINE[c]}) AS attribution, prediction FROM named" for c, w in LINEAR.items())})"""
-_MODES = " UNION ALL ".join(f"SELECT 'batch_{s}_reset_{r}' AS mode" for s in (32, 200) for r in (0, 2000))
+_MODES = " UNION ALL ".join(f"SELECT 'batch_{s}_reset_{r}' AS mode, {s} AS size, {r} AS reset" for s in (32, 200) for r in (0, 2000))
 ORACLE = {
     "holdout_modes": f"""WITH {v.SCORED}, lv AS (SELECT p, count(*) FILTER (label = 1) AS a, count(*) FILTER (label = 0) AS b FROM scored_v WHERE split = 'validation' GROUP BY 1),
         cv AS (SELECT p, sum(a) OVER (ORDER BY p DESC) AS tp, sum(b) OVER (ORDER BY p DESC) AS fp, sum(a) OVER () AS pos, sum(b) OVER () AS neg FROM lv),
@@ -135,14 +139,19 @@ ORACLE = {
         th AS (SELECT coalesce(max(p) FILTER (tp = best), 1.0)::DOUBLE AS threshold, count(p) > 0 AS feasible FROM ok),
         bn AS (SELECT p, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS n FROM scored_v WHERE split = 'calibration' AND label = 0),
         qq AS (SELECT coalesce(max(p) FILTER (rn = ceil((n + 1) * CAST(0.9 AS DOUBLE))), 1.0)::DOUBLE AS conformal_q FROM bn),
-        t AS (SELECT 'all' AS scope, * FROM scored_v WHERE split = 'test' UNION ALL SELECT 'capture ' || capture, * FROM scored_v WHERE split = 'test'),
-        c AS (SELECT scope, threshold, feasible, conformal_q, count(*) AS events, count(*) FILTER (p >= threshold AND label = 1) AS tp,
+        lines AS (SELECT CAST(year(l_shipdate) AS INT) AS capture, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, CAST(round(l_discount * 100) AS INT) / 10.0::DOUBLE AS p,
+          row_number() OVER (PARTITION BY year(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS rn
+          FROM lineitem WHERE year(l_shipdate) NOT IN (1998, 1999) AND year(l_shipdate) > 1997),
+        modes AS ({_MODES}),
+        t AS (SELECT mode, 'all' AS scope, label, p FROM lines, modes UNION ALL SELECT mode, 'capture ' || capture, label, p FROM lines, modes
+          UNION ALL SELECT mode, 'cold', label, p FROM lines, modes WHERE CASE WHEN reset = 0 THEN rn ELSE rn % greatest(reset, 1) END < size),
+        c AS (SELECT mode, scope, threshold, feasible, conformal_q, count(*) AS events, count(*) FILTER (p >= threshold AND label = 1) AS tp,
           count(*) FILTER (p >= threshold AND label = 0) AS fp, count(*) FILTER (p < threshold AND label = 1) AS fn,
-          count(*) FILTER (p < threshold AND label = 0) AS tn, count(*) FILTER (p > conformal_q) AS above_quantile FROM t, th, qq GROUP BY 1, 2, 3, 4)
-        SELECT mode, c.*, concat_ws(',', CASE WHEN tp + fn > 0 AND (tp + fp = 0 OR tp / greatest(tp + fp, 1) < 0.2) THEN 'precision' END,
+          count(*) FILTER (p < threshold AND label = 0) AS tn, count(*) FILTER (p > conformal_q) AS above_quantile FROM t, th, qq GROUP BY 1, 2, 3, 4, 5)
+        SELECT c.*, concat_ws(',', CASE WHEN tp + fn > 0 AND (tp + fp = 0 OR tp / greatest(tp + fp, 1) < 0.2) THEN 'precision' END,
             CASE WHEN tp + fn > 0 AND tp / greatest(tp + fn, 1) < 0.4 THEN 'recall' END, CASE WHEN fp + tn > 0 AND fp / greatest(fp + tn, 1) > 0.9 THEN 'false_positive_rate' END) AS failed,
           NOT ((tp + fn > 0 AND (tp + fp = 0 OR tp / greatest(tp + fp, 1) < 0.2)) OR (tp + fn > 0 AND tp / greatest(tp + fn, 1) < 0.4)
-            OR (fp + tn > 0 AND fp / greatest(fp + tn, 1) > 0.9)) AS met FROM c, ({_MODES}) m""",
+            OR (fp + tn > 0 AND fp / greatest(fp + tn, 1) > 0.9)) AS met FROM c""",
     "shapley_attributions": f"WITH {_ATTR} SELECT row_key, feature, round(attribution, 9) AS attribution, round(prediction, 9) AS prediction FROM attr",
     "primary_drivers": f"""WITH {_ATTR}, r AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY -abs(round(attribution, 9)), feature) AS k FROM attr),
         g AS (SELECT row_key, max(feature) FILTER (k = 1) AS primary_driver, max(round(attribution, 9)) FILTER (k = 1) AS a, count(*) FILTER (k <= 3 AND feature = 'l_tax') AS tax FROM r GROUP BY 1)

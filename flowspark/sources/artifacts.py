@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowspark.operators.ordered import ordered
+
 
 def file_fingerprints(spark: SparkSession, pattern: str) -> DataFrame:
     """SHA-256, size and modification time of every matching file."""
@@ -111,5 +113,19 @@ def write_window_states(states: DataFrame, path: str, drop_last: bool = True) ->
     rows.select("capture", "window", "state").write.mode("errorifexists").partitionBy("capture").parquet(path)
 
 
-def read_window_states(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WINDOW_STATE).parquet(path)
+def read_window_states(spark: SparkSession, path: str, dims: int | None = None) -> DataFrame:
+    """Window states; reading one of another dimension (than ``dims``, or than the first one read), a
+    number that is not finite or a window twice in a capture is an error, whatever columns are taken."""
+    rows = spark.read.schema(WINDOW_STATE).parquet(path)
+    if dims is None:
+        first = rows.select(F.size("state").alias("n")).first()
+        dims = first.n if first else 0
+    checked = ordered(rows, ["capture"], ["window"]).lag(_before="window").done()
+    bad = (
+        F.when(F.col("state").isNull() | (F.size("state") != dims), "dimension")
+        .when(~F.forall("state", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), "nonfinite number")
+        .when(F.col("window").isNull() | (F.col("window") <= F.col("_before")), "window order")
+    )
+    message = F.concat(F.lit("unusable window state: "), bad, F.lit(" in "), F.coalesce("capture", F.lit("no capture")))
+    # A filter stays in the plan whatever columns a reader selects.
+    return checked.where(F.when(bad.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True)).drop("_before")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.functions.text import canonical_ip, norm_name, norm_text
+from flowspark.functions.text import canonical_ip, canonical_label, norm_name, norm_text
 from flowspark.operators.ordered import ordered
 from flowspark.operators.prepare import assert_none
 from flowspark.schemas import FEATURE_COLUMNS, FEATURES, SPLITS
@@ -66,16 +67,30 @@ FAMILY_LABELS = [
 ]
 
 
-def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    """Column names of the first line, byte-order mark removed; one line reaches the driver."""
+def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """``value, file, _block, _in_split``: every line with its place."""
     if encoding.upper() in ("UTF-8", "UTF8"):
-        line = spark.read.text(path).first()
+        lines = spark.read.text(path)
     else:
-        lines = spark.read.schema("value string").option("encoding", _spark_encoding(encoding)).option("sep", "\u0001")
-        line = lines.option("quote", "").csv(path).select(_decoded(F.col("value"), encoding)).first()
-    if line is None:
+        lines = spark.read.schema("value string").option("encoding", _spark_encoding(encoding)).option("sep", "\u0001").option("quote", "").csv(path)
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")
+    return lines.select(_decoded(F.col("value"), encoding).alias("value"), *place).withColumn("_in_split", F.monotonically_increasing_id())
+
+
+def _names_of(line: str) -> list[str]:
+    return next(csv.reader([line.lstrip("\ufeff")]))
+
+
+def read_headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[tuple[list[str], list[str]]]:
+    """``(column names, files)`` of each different first line, byte-order mark removed.
+
+    One pass over the first block of each file; the driver gets the lines and the file names.
+    """
+    first = _lines(spark, path, encoding).where("_block = 0").groupBy("file").agg(F.min_by("value", "_in_split").alias("value"))
+    groups = first.groupBy("value").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not groups:
         raise ValueError(f"empty file: {path}")
-    return next(csv.reader([line[0].lstrip("﻿")]))
+    return [(_names_of(r.value), [unquote(f) for f in r.files]) for r in sorted(groups, key=lambda r: r.files[0])]
 
 
 def resolve_columns(
@@ -107,21 +122,69 @@ def resolve_columns(
     return out
 
 
-def read_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[DataFrame, list[str]]:
+def read_rows(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[tuple[DataFrame, list[str]]]:
+    """``(rows, header)`` of each group of files with one header."""
+    return [(_rows(spark, files, headers, encoding), headers) for headers, files in read_headers(spark, path, encoding)]
+
+
+def _rows(spark: SparkSession, files: list[str], headers: list[str], encoding: str) -> DataFrame:
     """All-text rows as c0..cn with ``file``, split position and the raw text of rows whose
     width differs from the header."""
-    headers = read_header(spark, path, encoding)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))]
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", _spark_encoding(encoding))
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     # Width checks need every token, so pruning is off for the parser of these rows.
-    rows = reader.option("columnPruning", False).option("nullValue", "\u0001").option("emptyValue", "").csv(path)
+    rows = reader.option("columnPruning", False).option("nullValue", "\u0001").option("emptyValue", "").csv(files)
     texts = [_decoded(F.col(f.name), encoding).alias(f.name) for f in fields]
     # The check needs every column parsed whatever a caller selects.
     everything = F.length(F.concat_ws("", *[f.name for f in fields])) >= 0
     texts.append(F.when(everything, _decoded(F.col(CORRUPT), encoding)).alias(CORRUPT))
-    return rows.select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")), headers
+    return rows.select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def read_records(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """``file, record, raw``: the raw text of every record, line breaks in quotes included; the header is record 1.
+
+    A line goes on with the record before it where the quotes up to it are odd in number.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = ordered(_lines(spark, path, encoding).withColumn("_q", quotes), ["file"], ["_block", "_in_split"]).running(_through=("sum", F.col("_q").cast("bigint")))
+    lines = lines.with_column("_starts", ((F.col("_through") - F.col("_q")) % 2 == 0).cast("bigint")).running(record=("sum", "_starts")).done()
+    alone = lines.where("_starts = 1 AND _through % 2 = 0").select("file", "record", F.col("value").alias("raw"))
+    cut = lines.where("NOT (_starts = 1 AND _through % 2 = 0)").groupBy("file", "record")
+    pieces = F.array_sort(F.collect_list(F.struct("_block", "_in_split", "value")))
+    return alone.unionByName(cut.agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("raw")))
+
+
+def parse_records(records: DataFrame, headers: list[str]) -> DataFrame:
+    """Text columns c0..cn of records under one header, with ``file, record, raw`` and ``reason`` (row_width)."""
+    schema = ", ".join(f"c{i} string" for i in range(len(headers))) + f", {CORRUPT} string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "nullValue": "\u0001", "emptyValue": "", "maxCharsPerColumn": "-1", "escape": '"'}
+    rows = records.withColumn("_r", F.from_csv("raw", schema, options))
+    reason = F.when(F.col(f"_r.{CORRUPT}").isNotNull(), "row_width")
+    return rows.select(*[F.col(f"_r.c{i}").alias(f"c{i}") for i in range(len(headers))], "file", "record", "raw", reason.alias("reason"))
+
+
+def read_record_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", columns: dict[str, str] | None = None) -> DataFrame:
+    """Line-keeping scan of labelled flow files: named text columns, ``file``, ``record``, ``raw`` and ``reason``."""
+    parts = []
+    for headers, files in read_headers(spark, path, encoding):
+        rows = parse_records(read_records(spark, files, encoding).where("record > 1"), headers)
+        parts.append(rows.select(*_named(resolve_columns(headers, columns, tolerate_unused=True)), "file", "record", "raw", "reason"))
+    return _union(parts)
+
+
+def known_label_reason(label: Column, known: list[str]) -> Column:
+    """``unknown_label`` for a label that is not in the closed list, both in canonical form."""
+    return F.when(~F.coalesce(canonical_label(label), F.lit("")).isin([k.replace("\u2013", "-") for k in known]), "unknown_label")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def with_record_numbers(rows: DataFrame) -> DataFrame:
@@ -138,19 +201,15 @@ def _named(positions: dict[str, int]) -> list[Column]:
 
 def read_flow_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
     """Strict scan: named text columns; running it fails on a row of another width."""
-    rows, headers = read_rows(spark, path)
-    positions = resolve_columns(headers, columns)
     message = F.concat(F.lit("number of fields differs from header: "), F.col("file"), F.lit(": "), F.col(CORRUPT))
     intact = F.when(F.col(CORRUPT).isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("file"))
-    return rows.select(*_named(positions), intact.alias("file"))
+    return _union([rows.select(*_named(resolve_columns(headers, columns)), intact.alias("file")) for rows, headers in read_rows(spark, path)])
 
 
 def read_export_csv(spark: SparkSession, path: str, encoding: str = "windows-1252") -> DataFrame:
     """Export scan: named text columns and ``reason`` (row_width) for quarantine."""
-    rows, headers = read_rows(spark, path, encoding)
-    positions = resolve_columns(headers, tolerate_unused=True)
-    reason = F.when(F.col(CORRUPT).isNotNull(), "row_width")
-    return rows.select(*_named(positions), "file", "_block", reason.alias("reason"), F.col(CORRUPT).alias("raw"))
+    kept = ["file", "_block", F.when(F.col(CORRUPT).isNotNull(), "row_width").alias("reason"), F.col(CORRUPT).alias("raw")]
+    return _union([rows.select(*_named(resolve_columns(headers, tolerate_unused=True)), *kept) for rows, headers in read_rows(spark, path, encoding)])
 
 
 def numeric_features(df: DataFrame) -> DataFrame:
@@ -160,11 +219,13 @@ def numeric_features(df: DataFrame) -> DataFrame:
 
 def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
     """Features and label only, numbers coerced, other columns pruned."""
-    headers = read_header(spark, path)
-    positions = resolve_columns(headers, identity=False, tolerate_unused=True)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return numeric_features(rows.select(*_named(positions), F.col("_metadata.file_path").alias("file")))
+    parts = []
+    for headers, files in read_headers(spark, path):
+        positions = resolve_columns(headers, identity=False, tolerate_unused=True)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+        parts.append(rows.select(*_named(positions), F.col("_metadata.file_path").alias("file")))
+    return numeric_features(_union(parts))
 
 
 def feature_row_reason() -> Column:
@@ -198,10 +259,7 @@ def read_manifest(spark: SparkSession, sources: list[dict], splits: list[str] |
             "timestamp_format": s.get("timestamp_format"), "timezone": s.get("timezone", "UTC"),
         }
         parts.append(rows.withColumns({k: F.lit(x).cast("string") for k, x in tags.items()}))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _union(parts)
 
 
 def write_quarantine(bad: DataFrame, path: str) -> None:
@@ -244,13 +302,12 @@ def _spread(headers: list[str]) -> tuple[list[str], list[str]]:
 
 
 def audit_inventory(spark: SparkSession, files: list[str], rows_per_file: int | None = None) -> DataFrame:
-    """Per file: columns, missing and repeated headers, and error counts by kind.
+    """Per path and header in it: columns, missing and repeated headers, and error counts by kind.
 
     Reads every row; ``rows_per_file`` bounds the check to the first ones.
     """
     parts = []
-    for path in files:
-        rows, headers = read_rows(spark, path)
+    for path, (rows, headers) in [(p, group) for p in files for group in read_rows(spark, p)]:
         missing, repeated = _spread(headers)
         if rows_per_file is not None:
             rows = with_record_numbers(rows).where(F.col("record") <= rows_per_file + 1)
@@ -283,7 +340,14 @@ def audit_inventory(spark: SparkSession, files: list[str], rows_per_file: int |
                 F.count_if(whole & empty).alias("empty_label"),
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _union(parts)
+
+
+def label_inventory(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Per path: rows of every label in canonical form; a path without a label column has none."""
+    parts = []
+    for path, (rows, headers) in [(p, group) for p in files for group in read_rows(spark, p)]:
+        at = [i for i, h in enumerate(headers) if norm_text(h) in {norm_text(s) for s in IDENTITY_ALIASES["label"]}]
+        label = canonical_label(F.col(f"c{at[0]}")) if at else F.lit(None).cast("string")
+        parts.append(rows.where(F.col(CORRUPT).isNull()).select(F.lit(path).alias("file"), label.alias("label")))
+    return _union(parts).where("label IS NOT NULL").groupBy("file", "label").agg(F.count(F.lit(1)).alias("rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.operators.ordered import ordered
 from flowspark.schemas import LEDGER_BLOCK, SEQUENCE
 
 
@@ -24,6 +25,23 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_BLOCK).json(path)
 
 
+def read_ledger_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a ledger with ``file`` and ``line``, in the order they were written.
+
+    A line that is no block keeps its place, with nulls, so that verification names it.
+    """
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.text(path).select("value", *place).withColumn("_in_split", F.monotonically_increasing_id())
+    rows = ordered(lines, ["file"], ["_block", "_in_split"]).running(line=("sum", F.lit(1).cast("bigint"))).done()
+    return rows.select(F.from_json("value", LEDGER_BLOCK).alias("_b"), "file", "line").select("_b.*", "file", "line")
+
+
+def write_ledger(blocks: DataFrame, path: str) -> None:
+    """One ledger in ascending order, file by file and line by line."""
+    columns = [c for c in LEDGER_BLOCK.names if c in blocks.columns]
+    blocks.select(columns).repartitionByRange("block_index").sortWithinPartitions("block_index").write.mode("errorifexists").json(path)
+
+
 def append_ledger(blocks: DataFrame, path: str) -> None:
     blocks.select(*[c for c in LEDGER_BLOCK.names if c in blocks.columns]).write.mode("append").json(path)
 

@@ -1,6 +1,7 @@
 """Files in and out: headers, strict rows, manifests, captures, artifacts."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -137,6 +138,111 @@ def test_capture_files(spark, tmp_path, order):
     assert flows.flow_table(flows.assemble_flows(b, 15_000_000, 120_000_000)).count() == 2
 
 
+def _ng_block(order, kind, body):
+    size = struct.pack(order + "I", len(body) + 12)
+    return struct.pack(order + "I", kind) + size + body + size
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_large_captures_are_read_in_splits(spark, tmp_path, small_splits, order):
+    """Payloads of zeros, line feeds and look-alike headers, cut at every place by small splits."""
+    rng = random.Random(order)
+    sent, data = [], struct.pack(order + "IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 1)
+    section = _ng_block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    ng = section + _ng_block(order, 1, struct.pack(order + "HHI", 1, 0, 0) + struct.pack(order + "HHB3xHH", 9, 1, 9, 0, 0)) + _ng_block(order, 1, struct.pack(order + "HHI", 101, 0, 0))
+    for i in range(400):
+        body = rng.choice([b"\n", b"\0", bytes(rng.randrange(256) for _ in range(7)), struct.pack(order + "IIII", 9, 9, 9, 9)]) * rng.randrange(1, 60)
+        frame = _frame(17, struct.pack("!HHHH", i, 53, 8 + len(body), 0) + body)
+        nanos = 1_700_000_000 * 10**9 + i * 10**8 + 5000
+        data += struct.pack(order + "IIII", nanos // 10**9, nanos % 10**9, len(frame), len(frame)) + frame
+        micros = nanos // 1000
+        number, stamp, inner = (0, nanos, frame) if i % 3 else (1, micros, frame[14:])
+        ng += _ng_block(order, 6, struct.pack(order + "IIIII", number, stamp >> 32, stamp & 0xFFFFFFFF, len(inner), len(inner)) + inner + b"\0" * (-len(inner) % 4))
+        sent.append((i, micros, "udp", i, body))
+    for name, content in (("a.pcap", data), ("b.pcap", data + b"\n"), ("c.pcap", data[:-1]), ("d.pcapng", ng)):
+        (tmp_path / name).write_bytes(content)
+    assert len(data) > 10 * 3000
+    rows = captures.scan_packets(spark, str(tmp_path / "*")).orderBy("file", "seq").collect()
+    files = {n: [r for r in rows if r.file.endswith(n)] for n in ("a.pcap", "b.pcap", "c.pcap", "d.pcapng")}
+    told = lambda rs: [(r.seq, r.ts_us, r.protocol, r.src_port, bytes(r.payload)) for r in rs if r.error is None]
+    assert told(files["a.pcap"]) == sent and told(files["d.pcapng"]) == sent and told(files["b.pcap"]) == sent and told(files["c.pcap"]) == sent[:-1]
+    assert [(r.error, r.length) for r in files["b.pcap"] if r.error] == [("truncated record", 1)]
+    assert [r.error for r in files["c.pcap"] if r.error] == ["truncated record"]
+    assert not [r for n in ("a.pcap", "d.pcapng") for r in files[n] if r.error]
+
+
+def test_what_is_no_packet_is_an_error_row(spark, tmp_path):
+    (tmp_path / "x.pcap").write_bytes(b"not a capture at all")
+    _capture(tmp_path / "y.pcap", [(1, b"\0" * 12 + b"\x86\xdd" + b"six" * 9)], linktype=1)
+    _capture(tmp_path / "z.pcap", [(1, b"abc")], linktype=147)
+    rows = captures.scan_packets(spark, str(tmp_path / "*.pcap")).orderBy("file").collect()
+    assert [r.error for r in rows] == ["unknown magic", "no IPv4 packet", "unknown link type"]
+    assert captures.read_packets(spark, str(tmp_path / "*.pcap")).count() == 0
+
+
+def test_files_of_several_headers(spark, tmp_path):
+    _csv(tmp_path / "a b.csv", ROW)
+    turned = ["Tot Fwd Pkts" if h == "Total Fwd Packet" else h for h in HEADER][::-1]
+    _csv(tmp_path / "c.csv", [str(i) for i in range(16)] + ["Bot", "7.5", "10.0.0.4", "10.0.0.3"], header=turned, encoding="utf-8-sig")
+    _csv(tmp_path / "d.csv", ["10.0.0.9", *ROW[1:]])
+    rows = csvflows.read_flow_csv(spark, str(tmp_path)).orderBy("src_ip").collect()
+    assert [(r.src_ip, r.label, r.duration_us, r.fwd_packets) for r in rows] == [("10.0.0.1", "BENIGN", "1.5", "1.5"), ("10.0.0.3", "Bot", "15", "14"), ("10.0.0.9", "BENIGN", "1.5", "1.5")]
+    counts = csvflows.label_inventory(spark, [str(tmp_path)]).orderBy("label").collect()
+    assert [(r.label, r.rows) for r in counts] == [("BENIGN", 2), ("Bot", 1)]
+    _csv(tmp_path / "e.csv", ROW[1:], header=HEADER[1:])
+    with pytest.raises(ValueError, match="exactly one"):
+        csvflows.read_flow_csv(spark, str(tmp_path))
+
+
+def test_records_keep_their_lines(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    broken = ",".join([*ROW[:3], '"Web\nAttack ""x"""', *ROW[4:]])
+    path.write_text("\n".join([",".join(HEADER), ",".join(ROW), broken, ",".join(ROW[:-1]), ",".join([*ROW[:3], "Martian", *ROW[4:]]), ",".join(ROW)]) + "\n")
+    rows = csvflows.read_record_csv(spark, str(path)).orderBy("record").collect()
+    assert [(r.record, r.label, r.reason) for r in rows] == [(2, "BENIGN", None), (3, 'Web\nAttack "x"', None), (4, "BENIGN", "row_width"), (5, "Martian", None), (6, "BENIGN", None)]
+    assert rows[1].raw == broken and rows[2].raw == ",".join(ROW[:-1]) and rows[0].file.endswith("a.csv")
+    known = csvflows.known_label_reason(F.col("label"), [*csvflows.EXPORT_LABELS, 'Web Attack "x"'])
+    got = csvflows.read_record_csv(spark, str(path)).select(known.alias("k")).where("k IS NOT NULL").collect()
+    assert [r.k for r in got] == ["unknown_label"]
+
+
+def test_ledger_lines_in_file_order(spark, tmp_path):
+    from flowspark.operators import ledger as lg
+
+    heads = spark.createDataFrame([(i, 1, f"{i:064x}", f"{i}.5") for i in range(6)], "position long, leaf_count long, merkle_root string, timestamp string")
+    blocks = heads.join(lg.relink(heads), "position")
+    records.write_ledger(blocks, str(tmp_path / "l"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "l")).collect()]
+    lines.sort(key=lambda x: json.loads(x)["block_index"])
+    roots = heads.select(F.col("position").alias("block_index"), F.col("merkle_root").alias("_root"), F.col("leaf_count").alias("_leaves"))
+    check = lambda path: [r.reason for r in lg.verify_ledger(records.read_ledger_lines(spark, path), roots, order=("file", "line")).orderBy("line").collect()]
+    assert check(str(tmp_path / "l")) == [None] * 6
+    swapped = [*lines[:2], lines[3], lines[2], *lines[4:]]
+    (tmp_path / "s.json").write_text("\n".join([*swapped, "no block"]) + "\n")
+    assert check(str(tmp_path / "s.json")) == [None, None, "index_sequence", "index_sequence", "previous_hash", None, "index_sequence"]
+    assert [r.reason for r in lg.verify_ledger(records.read_ledger_lines(spark, str(tmp_path / "s.json")).where("block_index IS NOT NULL"), roots).collect()] == [None] * 6
+
+
+def test_window_states_are_checked_on_read(spark, tmp_path):
+    good = [("a", w, [float(w), 1.0]) for w in (0, 1, 2)]
+    for name, odd, message in [("dim", ("b", 0, [1.0]), "dimension"), ("nan", ("b", 0, [float("nan"), 1.0]), "nonfinite"), ("twice", ("a", 2, [1.0, 1.0]), "window order")]:
+        path = str(tmp_path / name)
+        spark.createDataFrame([*good, odd], artifacts.WINDOW_STATE).write.partitionBy("capture").parquet(path)
+        with pytest.raises(Exception, match=message):
+            artifacts.read_window_states(spark, path, 2).select("window").collect()
+        with pytest.raises(Exception, match=message):
+            artifacts.read_window_states(spark, path, 2).count()
+
+
 def test_calibration_identity(spark, tmp_path):
     benign = spark.range(100).select((F.col("id") / 330).alias("score"))
     stages = spark.createDataFrame([(i, [float(i == j) for j in range(3)]) for i in range(3)], "y int, probs array<double>")
