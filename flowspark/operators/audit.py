@@ -62,12 +62,12 @@ def label_conflicts(df: DataFrame, vector: str, label: str, capture: str) -> Dat
 
 
 def priority_sample(df: DataFrame, strata: list[str], identity: list[str], n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows per stratum, those with the smallest seeded hash of their identity.
+    """At most ``n`` rows per stratum, those with the smallest seeded hash (MD5) of their identity.
 
     The rank filter is applied on the map side as well, so a large stratum ships n rows
     per task, not all of them.
     """
-    key = F.xxhash64(*identity, F.lit(seed))
+    key = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in identity], F.lit(str(seed))).cast("binary"))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy(key, *identity))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 

@@ -247,7 +247,7 @@ def _pairs(name: str, condition: str) -> str:
 
 
 # Hexadecimal floats as the JVM writes them: a fraction always, no plus before the exponent.
-_FP = ", ".join(f"regexp_replace(replace(format('{{{{:a}}}}', CAST({c} AS DOUBLE)), 'p+', 'p'), '^(-?0x[0-9a-f])p', '\\1.0p')" for c in FEATURE_COLUMNS)
+_FP = ", ".join(f"regexp_replace(replace(format('{{:a}}', CAST({c} AS DOUBLE)), 'p+', 'p'), '^(-?0x[0-9a-f])p', '\\1.0p')" for c in FEATURE_COLUMNS)
 ORACLE = {
     "header_names": """SELECT doc_id, length(n) AS chars, sha256(n) AS digest FROM
         (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS n FROM documents) d""",

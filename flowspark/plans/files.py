@@ -200,9 +200,9 @@ def quarantine_records(spark, sf):
     path, target = fresh_dir(spark, "damaged"), fresh_dir(spark, "quarantine")
     header = ",".join(["Src IP", "Dst IP", "Timestamp", "Label", *FEATURES])
     flows.select(line.alias("value")).mapInPandas(_headed(header), "value string").write.text(path)
-    rows = csvflows.read_record_csv(spark, path)
-    reason = F.coalesce(F.col("reason"), csvflows.known_label_reason(F.col("label"), [*csvflows.EXPORT_LABELS, "SMB probe"]))
-    ok, bad = filters.split_quarantine(rows.drop("reason"), reason)
+    rows = csvflows.read_record_csv(spark, path).withColumnRenamed("reason", "_width")
+    reason = F.coalesce(F.col("_width"), csvflows.known_label_reason(F.col("label"), [*csvflows.EXPORT_LABELS, "SMB probe"]))
+    ok, bad = filters.split_quarantine(rows, reason)
     csvflows.write_quarantine(bad.select("file", "record", "reason", "raw"), target)
     read = spark.read.schema("file string, record bigint, reason string, raw string").json(target)
     parts = F.split("raw", ",")

@@ -144,7 +144,7 @@ ORACLE = {
           FROM lineitem WHERE year(l_shipdate) NOT IN (1998, 1999) AND year(l_shipdate) > 1997),
         modes AS ({_MODES}),
         t AS (SELECT mode, 'all' AS scope, label, p FROM lines, modes UNION ALL SELECT mode, 'capture ' || capture, label, p FROM lines, modes
-          UNION ALL SELECT mode, 'cold', label, p FROM lines, modes WHERE CASE WHEN reset = 0 THEN rn ELSE rn % greatest(reset, 1) END < size),
+          UNION ALL SELECT mode, 'cold', label, p FROM lines, modes WHERE CASE WHEN reset = 0 THEN rn ELSE rn % greatest(ceil(reset / size) * size, 1) END < size),
         c AS (SELECT mode, scope, threshold, feasible, conformal_q, count(*) AS events, count(*) FILTER (p >= threshold AND label = 1) AS tp,
           count(*) FILTER (p >= threshold AND label = 0) AS fp, count(*) FILTER (p < threshold AND label = 1) AS fn,
           count(*) FILTER (p < threshold AND label = 0) AS tn, count(*) FILTER (p > conformal_q) AS above_quantile FROM t, th, qq GROUP BY 1, 2, 3, 4, 5)

@@ -190,13 +190,11 @@ def report_audit(spark, sf):
 
 
 def priority_sample(spark, sf):
-    """Up to 512 rows per stratum by smallest seeded hash: a sampling operator."""
-    line = v.table(spark, sf, "lineitem").withColumn(
-        "row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    )
+    """The rows of each stratum, 512 at most, with the smallest seeded hashes: a sampling operator."""
+    line = v.table(spark, sf, "lineitem").withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     strata = line.withColumn("capture", F.year("l_shipdate"))
     sample = audit.priority_sample(strata, ["capture", "l_returnflag"], ["row_key"], 512, 42)
-    return sample.groupBy("capture", "l_returnflag").agg(F.count(F.lit(1)).alias("sampled"))
+    return sample.select("capture", "l_returnflag", "row_key")
 
 
 def families_absent_from_training(spark, sf):
@@ -398,7 +396,8 @@ ORACLE = {
         SELECT CAST(NULL AS INT) AS capture, count(*) AS vectors, count(*) FILTER (k > 1) AS conflicting FROM o
         UNION ALL SELECT capture, count(*), count(*) FILTER (k > 1) FROM w GROUP BY 1""",
     "report_audit": f"""{_S} SELECT DISTINCT split, CASE WHEN split = 'test' THEN 'recall' ELSE '' END AS inconsistent, true AS chunks_match FROM scored_v""",
-    "priority_sample": """SELECT CAST(year(l_shipdate) AS INT) AS capture, l_returnflag, least(count(*), 512) AS sampled FROM lineitem GROUP BY 1, 2""",
+    "priority_sample": """WITH k AS (SELECT CAST(year(l_shipdate) AS INT) AS capture, l_returnflag, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key FROM lineitem)
+        SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY capture, l_returnflag ORDER BY md5(row_key || '-42'), row_key) <= 512""",
     "families_absent_from_training": """WITH l AS (SELECT concat_ws('/', l_partkey, l_suppkey) AS family, year(l_shipdate) AS y FROM lineitem)
         SELECT family FROM l WHERE y = 1998 OR y >= 2000 EXCEPT SELECT family FROM l WHERE y <= 1997""",
     "train_validation_overlap": """SELECT l_orderkey AS order_key FROM lineitem WHERE year(l_shipdate) <= 1997

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import encode_ts, signed_expm1, signed_log1p
 from flowspark.functions.packets import TCP_FLAGS, byte_entropy, entropy_class, port_profile, port_tier, service_name, tcp_flag
-from flowspark.operators import filters, flows
+from flowspark.operators import filters, flows, rules
+from flowspark.plans import threat
 from flowspark.plans import views as v
 from flowspark.schemas import FEATURE_COLUMNS
 
@@ -213,28 +214,31 @@ def feature_transform(spark, sf):
 
 
 def flow_validation(spark, sf):
-    """Request check over flows in start order per source."""
+    """Request check over flows in start order per source; of eleven start times, four have each its damage."""
     table = v.flows_v(spark, sf)
+    kind, features = F.col("start_us") % 11, F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS])
+    odd = lambda x: F.concat(F.slice(features, 1, 15), F.array(F.lit(x).cast("double")))
     request = table.select(
         "src_ip",
         F.col("start_us").alias("seq"),
-        (F.col("start_us") / 1e6).alias("timestamp"),
-        F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS]).alias("features"),
+        F.when(kind == 5, F.lit(-1.0)).otherwise(F.col("start_us") / 1e6).alias("timestamp"),
+        F.when(kind == 3, odd("NaN")).when(kind == 7, F.slice(features, 1, 15)).when(kind == 9, odd(1e300)).otherwise(features).alias("features"),
     )
     checked = filters.validate_flows(request, ["src_ip"])
     return checked.groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("flows"))
 
 
 def run_counters(spark, sf):
-    assembled, _ = v.assembled_v(spark, sf, keep=True)
-    table = flows.flow_table(assembled)
-    packets = assembled.agg(F.count(F.lit(1)).alias("packets"))
-    totals = table.agg(
+    """Packets, flows, threats by the rules, and flows that are not idle yet at the last packet."""
+    packets = v.packets_v(spark, sf).agg(F.count(F.lit(1)).alias("packets"), F.max("ts_us").alias("_end"))
+    table = rules.evaluate_rules(v.flows_v(spark, sf), v.SCAN_WINDOW, v.SCAN_PORTS).crossJoin(F.broadcast(packets))  # one row
+    return table.groupBy("packets").agg(
         F.count(F.lit(1)).alias("flows"),
         F.count_if(F.col("rst_count") > 0).alias("reset_flows"),
         F.sum(F.col("fwd_bytes") + F.col("bwd_bytes")).alias("bytes"),
+        F.count("rule_threat").alias("threats"),
+        F.count_if(F.col("last_us") + v.IDLE > F.col("_end")).alias("active_flows"),
     )
-    return packets.crossJoin(totals)
 
 
 def chronological_flows(spark, sf):
@@ -417,8 +421,10 @@ ORACLE = {
         SELECT {_ID}, round(ln(1 + duration_us), 6) AS log_duration, round({_LOG.format(x="x")}, 6) AS log_difference,
           round(x, 4) AS difference, CAST(trunc(last_us / 1e6) AS BIGINT) AS t_seconds,
           CAST(trunc(CAST(last_us / 1e6 AS FLOAT)) AS BIGINT) AS t_float32 FROM x""",
-    "flow_validation": f"""{_F} SELECT 'ok' AS outcome, count(*) AS flows FROM flows_v""",
-    "run_counters": f"""{_F} SELECT (SELECT count(*) FROM packets_v) AS packets, count(*) AS flows,
-        count(*) FILTER (rst_count > 0) AS reset_flows, CAST(sum(fwd_bytes + bwd_bytes) AS BIGINT) AS bytes FROM flows_v""",
+    "flow_validation": f"""{_F} SELECT CASE start_us % 11 WHEN 7 THEN 'feature_count' WHEN 3 THEN 'nonfinite_feature' WHEN 5 THEN 'timestamp_range' WHEN 9 THEN 'feature_range' ELSE 'ok' END AS outcome,
+        count(*) AS flows FROM flows_v GROUP BY 1""",
+    "run_counters": f"""{_F}, {threat.RULED_CTE} SELECT (SELECT count(*) FROM packets_v) AS packets, count(*) AS flows,
+        count(*) FILTER (rst_count > 0) AS reset_flows, CAST(sum(fwd_bytes + bwd_bytes) AS BIGINT) AS bytes, count(rule_threat) AS threats,
+        count(*) FILTER (last_us + {v.IDLE} > (SELECT max(ts_us) FROM packets_v)) AS active_flows FROM ruled""",
     "chronological_flows": f"{_F} SELECT {_ID}, last_us FROM flows_v ORDER BY last_us, start_us",
 }
