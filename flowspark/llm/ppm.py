@@ -11,8 +11,8 @@ Tasks count their own texts' contexts and one row per different context and task
 trie whose counted size is within ``TRIE_ROWS`` is sent to the workers once; a larger one stays a
 table and the documents' contexts are joined with it, level by level, to the same scores.
 
-Word base: add-one estimate of each word.  Frequent words (a fixed number of rows) are joined by
-broadcast, so hot words are never shuffled; all others by shuffle.
+Word base: add-one estimate of each word.  Frequent words (at most ``HEAD_WORDS``) are summed by
+workers in one pass over the texts, so hot words are never shuffled; the words left are joined.
 
 Defined cases: null text is empty: one end token and the end mark; a null doc_id counts as the
 empty text for the fold; exact repeats of a (doc_id, text) row are read once; without training
@@ -21,20 +21,24 @@ texts every symbol has probability 1 / 256 and N = V = 0; an empty table gives a
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.bytetext import chunks, mix, text_bytes
-from flowspark.llm.common import ascii_lower, materialized, space_words
+from flowspark.llm.common import materialized
 
 ORDER = 4
 BEGIN, END = 0xFE, 0xFF
 #: Largest trie, in rows, that workers hold (about 30 bytes a row).
 TRIE_ROWS = 4_000_000
-#: Frequent words that are joined by broadcast, and the longest such word.
-HEAD_WORDS, HEAD_CHARS = 200_000, 64
+#: Frequent words that workers hold, and the longest such word; words a task counts before it hands on.
+HEAD_WORDS, HEAD_BYTES, HELD_WORDS = 200_000, 64, 1_000_000
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PIECE = 1 << 19
 
 
@@ -120,7 +124,7 @@ class Trie:
         bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
         self.slots = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))  # no gram: grams have 8 * (order + 1) bits
-        self.values = np.zeros(1 << bits, np.float32)
+        self.values = np.zeros(1 << bits)
         left, at = np.arange(len(keys)), mix(keys.copy()) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
         while len(left):
             free = self.slots[at] == np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -246,21 +250,82 @@ def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, left["doc_id"].eqNullSafe(right["_d"]) & (left["tag"] == right["_t"]), how).drop("_d", "_t")
 
 
+def head_threshold(counts: DataFrame) -> int:
+    """The smallest count of a power of 2^(1/16) that no more than HEAD_WORDS words reach."""
+    level = F.floor(F.log2("c") * 16)
+    steps = counts.groupBy(level.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("k")).collect()  # under 1,024 rows
+    taken, least = 0, 1 << 62
+    for step in steps:
+        taken += step.n
+        if taken > HEAD_WORDS:
+            break
+        least = step.least
+    return least
+
+
+def _words(column: pa.Array) -> Iterator[list[bytes]]:
+    """Lower-cased words of each text: bytes split at the white space of ASCII, which is the contract's."""
+    data, starts = text_bytes(column)
+    for a, b in chunks(starts, 4 << 20):
+        raw, ends = data[starts[a] : starts[b]].tobytes().translate(_LOWER), (starts[a : b + 1] - starts[a]).tolist()
+        for first, end in zip(ends, ends[1:]):
+            yield raw[first:end].split()
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, c`` over all texts; a task hands on its counts whenever it holds HELD_WORDS words."""
+
+    def run(batches):
+        held = Counter()
+
+        def out():
+            words, counts = list(held), list(held.values())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "c"])
+
+        for batch in batches:
+            for words in _words(batch.column("text")):
+                held.update(words)
+                if len(held) > HELD_WORDS:
+                    yield out()
+        yield out()
+
+    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def head_scores(docs: DataFrame, head: dict[bytes, float]) -> DataFrame:
+    """``doc_id, tag, n_tokens``, the sum and number of the words in ``head``, and the words left."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        known = shared.value.get
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(first, 256), []
+                for words in _words(part.column("text")):
+                    found = list(map(known, words))
+                    rest = [w for w, v in zip(words, found) if v is None] if None in found else []
+                    rows.append((len(words) + 1, sum(filter(None, found)), len(words) - len(rest), rest))
+                n, total, within, rest = zip(*rows)
+                columns = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(within, pa.int64()), pa.array(rest, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), *columns], ["doc_id", "tag", "n_tokens", "_head", "_in_head", "_rest"])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n_tokens long, _head double, _in_head long, _rest array<binary>")
+
+
 def base_scores(docs: DataFrame, trained: Column) -> DataFrame:
     """``doc_id, tag, n_tokens, n_known, train_tokens, base_score``."""
-    words = docs.select("doc_id", "tag", trained.alias("_train"), space_words(ascii_lower(F.col("text"))).alias("_w"))
-    counts = materialized(words.where("_train").select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("c")), "lm-words")
+    counts = materialized(word_counts(docs.where(trained)), "lm-words")
     texts = docs.where(trained).agg(F.count("*")).first()[0]
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + texts, v + (texts > 0)
-    head = counts.where(F.char_length("word") <= HEAD_CHARS).orderBy(F.desc("c"), "word").limit(HEAD_WORDS)
-    head = F.broadcast(materialized(head.select("word", F.log10(F.col("c") + 1.0).alias("_l")), "lm-head"))
-    rows = words.select("doc_id", "tag", F.explode("_w").alias("word"))
-    frequent = rows.join(head, "word").groupBy("doc_id", "tag").agg(F.sum("_l").alias("_head"), F.count("*").alias("_in_head"))
-    other = rows.join(head, "word", "left_anti").join(counts.select("word", F.log10(F.col("c") + 1.0).alias("_l")), "word")
+    logs = counts.select("word", "c", F.log10(F.col("c") + 1.0).alias("_l"))
+    short = logs.where(F.octet_length("word") <= HEAD_BYTES)
+    head = short.where(F.col("c") >= head_threshold(short)).select("word", "_l").toArrow()  # HEAD_WORDS rows at most
+    out = materialized(head_scores(docs, dict(zip(head.column("word").to_pylist(), head.column("_l").to_pylist()))), "lm-documents")
+    other = out.select("doc_id", "tag", F.explode("_rest").alias("word")).join(logs.select("word", "_l"), "word")
     other = other.groupBy("doc_id", "tag").agg(F.sum("_l").alias("_tail"), F.count("*").alias("_in_tail"))
-    sizes = words.select("doc_id", "tag", (F.size("_w") + 1).cast("long").alias("n_tokens"))
-    out = _same(_same(sizes, frequent, "left"), other, "left")
+    out = _same(out.drop("_rest"), other, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     logs = zero("_head") + zero("_tail") + F.log10(F.lit(texts + 1.0))
     return out.select("doc_id", "tag", "n_tokens", (zero("_in_head") + zero("_in_tail") + int(texts > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"))
