@@ -19,13 +19,11 @@ SF = "/root/testdata/sf0.001"
 def tokenizer():
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(queries.tokenizer_path())
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def test_pieces_encode_as_the_whole(tokenizer):
-    texts = ["a  b", "a   b", "  x", " x", "x ", "x  ", "a\n\nb", "a \n b", "a\x1cb", "\x1c", "a  b", "a  b", "don't  I'm", "a.\n bar", "\n", "", None, "x y z", "q\t\tq", "a\u0085b c", "<|endoftext|> a", "a \0b", "a\0 b"]
+    texts = ["a  b", "a   b", "  x", " x", "x ", "x  ", "a\n\nb", "a \n b", "a\x1cb", "\x1c", "a  b", "a  b", "don't  I'm", "a.\n bar", "\n", "", None, "x y z", "q\t\tq", "a\u0085b c", "<|endoftext|> a", "<|endoftext|>", "x <|endoftext|>y  z", "<|endof text|>", "a \0b", "a\0 b"]
     encoder = token_files.Encoder(queries.tokenizer_path())
     for part in (texts, texts[::-1], ["again a b"] * 2):
         ids, sizes = encoder.encode(part, 2)
@@ -88,6 +86,23 @@ def test_pairs_weigh_more_than_terms():
     assert isinstance(machine, Machine) and np.abs(machine.factors).max() > 0.05
 
 
+def test_words_that_are_neutral_alone_tell_in_a_pair():
+    """Each word is as common in either class; which two stand together decides."""
+    import pyarrow as pa
+
+    from flowspark.llm.bytetext import text_bytes
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = ["insult" if a else "praise", "group" if b else "crowd", *[f"w{rng.integers(400)}" for _ in range(10)]]
+        rows.append((" ".join(words), float(a == b)))
+    texts, y = text_bytes(pa.array([t for t, _ in rows])), np.array([v for _, v in rows])
+    scores = toxicity_fm.fit(texts[0], texts[1], y).scores(*texts)
+    assert ((scores >= 0.5) == y).mean() > 0.98
+
+
 def test_model_pair_sum_is_the_plain_one():
     rng = np.random.default_rng(1)
     machine = Machine(0.3, rng.normal(size=6), rng.normal(size=(6, toxicity_fm.FACTORS)), 0.5)
