@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from flowspark.llm.common import materialized
 
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>"
-#: Pieces that a worker remembers; others are encoded once per batch.
-REMEMBERED = 500_000
+#: Pieces that a worker remembers, and documents of a batch; other pieces are encoded once per batch.
+REMEMBERED, DOCUMENTS = 1_000_000, 1024
 #: Cutting at blanks is exact where white space stands alone; else before each run of it.
 _RUNS = re.compile(r"\s\s|[\0\x1c-\x1f]")
 _ODD = re.compile("[\0\x1c-\x1f]")
@@ -37,14 +37,16 @@ _PIECES = re.compile(r"\s*\S+|\s+")
 _encoders: dict = {}
 
 
-def pieces_of(text: str) -> list[str]:
+def pieces_of(text: str, added: re.Pattern | None = None) -> list[str]:
     """Cuts whose encodings, one after the other, are the encoding of the text.
 
     A piece that begins with a blank is named by what follows the blank, any other by a zero
-    character and itself.
+    character and itself.  A text with one of the tokenizer's ``added`` tokens is one piece.
     """
     if not text:
         return []
+    if added is not None and added.search(text):
+        return ["\0" + text]
     if _RUNS.search(text):
         cuts = [text] if _ODD.search(text) else _PIECES.findall(text)
         return [c[1:] if c[0] == " " and not _ODD.search(c) else "\0" + c for c in cuts]
@@ -74,52 +76,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(names, key=len, reverse=True)))) if names else None
         self.numbers = _Numbers()
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces and their numbers.  Pieces that may stand next to each other (white
-        space, then none of it at the end) are encoded as one text; one without the white space
-        gets a line feed, whose id is dropped."""
-        texts = [p[1:] if p[:1] == "\0" else " " + p for p in pieces]
-        joint = [not t[-1].isspace() for t in texts]
-        if _ODD.search("".join(texts)):
-            joint = [j and not _ODD.search(t) for t, j in zip(texts, joint)]
-        leading = [t[0].isspace() for t in texts]
-        parts = [t if b else "\n" + t for t, j, b in zip(texts, joint, leading) if j]
-        extra = ~np.array(leading, bool)[np.array(joint, bool)]
-        got = self.tokenizer.encode("".join(parts), add_special_tokens=False)
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])[:-1]
-        owner = np.searchsorted(starts, np.fromiter((a for a, _ in got.offsets), np.int64, len(got)), side="right") - 1
-        ids = np.array(got.ids, np.int32)
-        first = np.ones(len(ids), bool)
-        first[1:] = owner[1:] != owner[:-1]
-        keep = ~(first & extra[owner]) if len(ids) else first
-        ids, owner = ids[keep], owner[keep]
-        place = np.flatnonzero(joint)
-        lengths = np.zeros(len(texts), np.int64)
-        lengths[place] = np.bincount(owner, minlength=len(place))
-        if len(place) == len(texts):
-            return ids, lengths
-        ends = np.cumsum(lengths[place])
-        alone = {i: self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in np.flatnonzero(~np.array(joint)).tolist()}
-        mixed, k = [], 0
-        for i in range(len(texts)):
-            if i in alone:
-                mixed.append(np.array(alone[i], np.int32))
-                lengths[i] = len(alone[i])
-            else:
-                mixed.append(ids[ends[k] - lengths[i] : ends[k]])
-                k += 1
-        return np.concatenate(mixed), lengths
+        """Ids of the pieces and their numbers, without the offsets in the text."""
+        got = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in pieces], add_special_tokens=False)
+        lists = [e.ids for e in got]
+        return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with ``end_id`` after each text, and the number of each text's."""
         numbers, before = self.numbers, len(self.numbers)
         number = numbers.__getitem__
-        rows = [[*map(number, pieces_of(t)), 0] if t else [0] for t in texts]
+        rows = [[*map(number, pieces_of(t, self.added)), 0] if t else [0] for t in texts]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         place = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
         new = list(islice(reversed(numbers), len(numbers) - before))[::-1]
@@ -148,8 +121,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(first, DOCUMENTS)
                 ids, sizes = encoder(tokenizer).encode(part.column("text").to_pylist(), end_id)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), lists], ["doc_id", "n_tokens", "tokens"])
