@@ -4,9 +4,10 @@ A document is the set of its hashed terms: its words, and their first 4, 5 and 6
 inflected and made-up forms of a stem.  Its logit is a bias, a weight for each term and, for
 each pair of terms, the product of their factor vectors, so that a pair (an insult and a group's
 name) can weigh more than both of its terms.  The pair sum is linear in the terms.  Weights and
-factors are trained by AdaGrad on the logistic loss with weight decay.  Only terms take part that
-are in ``LEAST_DOCS`` sampled documents or more and whose shares in the two classes differ by
-``LEAST_Z`` standard errors.
+factors are trained by AdaGrad on the logistic loss with weight decay.  All terms take part that are
+in ``LEAST_DOCS`` sampled documents or more.  A term's own weight decays the more, the less its shares
+in the two classes differ, measured by their deviation; its factors do not depend on that, so that a word
+that tells nothing by itself can still tell in a pair.
 
 Fitting uses at most ``SAMPLE_ROWS`` labelled texts of at most ``SAMPLE_BYTES`` bytes; scoring reads
 every whole text in one pass, with a model of fixed size.  Defined cases are those of
@@ -25,10 +26,10 @@ from flowspark.llm.bytetext import chunks, lowered, mix, span_hashes, token_span
 from flowspark.llm.labelled import sample
 from flowspark.llm.quality_net import scored
 
-TERM_BITS, FACTORS, LEAST_DOCS, LEAST_Z = 20, 8, 5, 4.0
+TERM_BITS, FACTORS, LEAST_DOCS = 20, 8, 5
 PREFIXES = (4, 5, 6)
 SAMPLE_ROWS, SAMPLE_BYTES = 8000, 32_768
-EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.15, 2e-5
+STEPS, BATCH, RATE, DECAY, PAIR_DECAY, DOUBT = 750, 64, 0.15, 2e-5, 3e-3, 0.5
 PIECE = 1 << 18
 
 
@@ -86,7 +87,9 @@ def fit(data: np.ndarray, starts: np.ndarray, y: np.ndarray) -> Machine:
     bad, all_ = (np.bincount(term, w, minlength=1 << TERM_BITS) for w in (y[row], None))
     rate = np.clip(all_ / len(y), 1e-9, 1 - 1e-9)
     z = (bad / y.sum() - (all_ - bad) / (len(y) - y.sum())) / np.sqrt(rate * (1 - rate) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    taken = np.flatnonzero((all_ >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
+    taken = np.flatnonzero(all_ >= LEAST_DOCS)
+    # How far a term may weigh by itself goes with its evidence; what it does in pairs is free of that.
+    doubt = DECAY * (1 + DOUBT * len(y) / np.maximum(z[taken] ** 2, 1e-2))
     place = np.full(1 << TERM_BITS, -1, np.int32)
     place[taken] = np.arange(len(taken))
     row, term = row[place[term] >= 0], place[term[place[term] >= 0]].astype(np.int64)
@@ -95,7 +98,7 @@ def fit(data: np.ndarray, starts: np.ndarray, y: np.ndarray) -> Machine:
     weight, factors = np.zeros(len(taken)), rng.normal(0, 0.01, (len(taken), FACTORS))
     bias, gb, gw, gv = float(np.log(share / (1 - share))), 1e-3, np.full(len(taken), 1e-3), np.full((len(taken), FACTORS), 1e-3)
     machine = Machine(bias, weight, factors, share, place)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // -(-len(y) // BATCH))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             some = order[at : at + BATCH]
@@ -105,11 +108,10 @@ def fit(data: np.ndarray, starts: np.ndarray, y: np.ndarray) -> Machine:
             own = term[place]
             error = (1 / (1 + np.exp(-np.clip(machine.logits(local, own, len(some)), -30, 30))) - y[some]) / len(some)
             used, back = np.unique(own, return_inverse=True)
-            sums = np.zeros((len(some), FACTORS))
-            np.add.at(sums, local, factors[own])
-            g = np.bincount(back, error[local], minlength=len(used)) + DECAY * weight[used]
+            sums = np.stack([np.bincount(local, factors[own, f], minlength=len(some)) for f in range(FACTORS)], 1)
+            g = np.bincount(back, error[local], minlength=len(used)) + doubt[used] * weight[used]
             pair = error[local][:, None] * (sums[local] - factors[own])
-            g_v = np.stack([np.bincount(back, pair[:, f], minlength=len(used)) for f in range(FACTORS)], 1) + DECAY * factors[used]
+            g_v = np.stack([np.bincount(back, pair[:, f], minlength=len(used)) for f in range(FACTORS)], 1) + PAIR_DECAY * factors[used]
             gb += error.sum() ** 2
             gw[used] += g * g
             gv[used] += g_v * g_v
