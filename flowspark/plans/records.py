@@ -56,7 +56,7 @@ def _hashes(alerts):
             "attack_probability": c("final_score"), "conformal_p_value": 1 - c("model_p"), "payload_entropy": F.lit(0.0),
             "syn_ack_ratio": c("syn_ack_ratio"), "conformal_confirmed": c("model_p") >= 0.9, "mitre_stage": c("model_stage"),
             "stage_name": c("stage_name"), "pcap_hash": F.sha2("alert_id", 256),
-            "features": F.array(*[c(f).cast("double") for f in FEATURE_COLUMNS[:7]]),
+            "features": F.array(*[c(f).cast("double") for f in FEATURE_COLUMNS]),
         }
     )
     return alerts.select("alert_id", digest.alias("state_hash"))
@@ -234,7 +234,9 @@ def _proof() -> str:
 
 
 _FIX6 = "CAST(CAST(round({x}, 6) AS DECIMAL(38, 6)) AS VARCHAR)"
-_FEATS = " || '\",\"' || ".join(_FIX6.format(x=f"CAST({c} AS DOUBLE)") for c in FEATURE_COLUMNS[:7])
+# Hexadecimal floats as the JVM writes them: a fraction always, no plus before the exponent.
+_HEX = "regexp_replace(replace(format('{{:a}}', CAST({x} AS DOUBLE)), 'p+', 'p'), '^(-?0x[0-9a-f])p', '\\1.0p')"
+_FEATS = " || '\",\"' || ".join(_HEX.format(x=c) for c in FEATURE_COLUMNS)
 _STATE = f"""'{{"alert_id":"' || alert_id || '","attack_probability":"' || {_FIX6.format(x="final_score")} || '","conformal_confirmed":' ||
   CASE WHEN model_p >= 0.9 THEN 'true' ELSE 'false' END || ',"conformal_p_value":"' || {_FIX6.format(x="1 - model_p")} || '","dst_ip":"' || dst_ip ||
   '","dst_port":' || dst_port || ',"features":["' || {_FEATS} || '"],"mitre_stage":' || model_stage || ',"payload_entropy":"0.000000","pcap_hash":"' ||
