@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,59 @@ def test_segment_counts_bound_the_difference():
             assert np.abs(shingle_sets._folded(x, width) - shingle_sets._folded(y, width)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+@pytest.mark.parametrize("size", [60, 240])
+def test_copies_just_below_the_threshold_are_not_paired(spark, monkeypatch, size):
+    """Copies of one text with two words changed in each are similar by about 0.7: they share most shingles,
+    and only the few pairs that may be close are written and compared."""
+    rng, made, inner = np.random.default_rng(6), [], common.Scratch.table
+
+    def counted(self, df, name):
+        out = inner(self, df, name)
+        if name == "shingle-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", counted)
+    rows = []
+    for i in range(size):
+        text = [f"b{k}" for k in range(120)]
+        for k in rng.integers(0, 120, 2):
+            text[k] = f"n{rng.integers(10**9)}"
+        rows.append((i, " ".join(text)))
+    got = shingle_sets.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    same(got, _similar(rows))
+    assert sum(made) <= 4 * size
+
+
+def test_places_and_sketches_bound_the_difference(spark):
+    """Where two sets meet first, the places, and everywhere the parities, are no more than the difference."""
+    texts = _edited(7)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    level = np.zeros(1 << shingle_sets.COUNT_BITS, np.uint8)
+    level[::3] = 2
+    lists = [np.sort(t) for t in (next(shingle_sets._sets(pa.array([t]), 5))[2] for t in texts)]
+    names = [int(shingle_sets._names(np.array([0, len(t)]), t)[0]) for t in lists]
+    places = {(r.c, r.token): r.place for r in shingle_sets.prefix_tokens(docs, level, 5, 5).collect()}
+    for a, s in zip(names, lists):
+        order = sorted(s.view(np.int64).tolist(), key=lambda t: (level[(t % 2**64) >> (64 - shingle_sets.COUNT_BITS)], t))
+        assert [t for _, t in sorted((p, t) for (c, t), p in places.items() if c == a)] == order[: len(s) // 5 + 1]
+    met = 0
+    for i, (a, s) in enumerate(zip(names, lists)):
+        for b, t in zip(names[:i], lists[:i]):
+            differ = len(set(s.tolist()) ^ set(t.tolist()))
+            x, y = (np.frombuffer(shingle_sets._sketch(len(u), u), np.uint8)[None] for u in (s, t))
+            for width in (64, min(x.shape[1], y.shape[1])):
+                assert shingle_sets._odd_cells(x, y, width)[0] <= differ
+            shared = [(places[a, u], places[b, u]) for c, u in places if c == a and (b, u) in places]
+            if shared:
+                p, q = min(shared)
+                met += 1
+                assert p + q + abs((len(s) - p) - (len(t) - q)) <= differ
+            else:
+                assert 9 * differ > len(s) + len(t)
+    assert met
+
+
 def test_near_duplicates_stage(spark):
     """Copies with a few of 200 words changed go; the SimHash parameters of op5 left them."""
     rng = np.random.default_rng(8)
