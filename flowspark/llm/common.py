@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.session import checkpointed, fresh_dir, materialized  # noqa: F401  re-exported
 
+T = TypeVar("T")
 #: Broadcasting needs fewer rows than this; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Edges that a task writes at least, if there are so many.
+EDGES = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
+#: What this Python worker keeps from task to task, by the work that it is for.
+_kept: dict = {}
+
+
+def kept_for(work: tuple, make: Callable[[], T]) -> T:
+    """What a worker has kept since an earlier task of the same work; other work that keeps something, if only
+    nothing, has dropped it.  Workers go on to other stages, where it would be memory that nobody reads."""
+    if work not in _kept:
+        _kept.clear()
+        _kept[work] = make()
+    return _kept[work]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +65,12 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def in_tasks_of(df: DataFrame, most: int, rows: int) -> DataFrame:
+    """``df``, of at most ``most`` rows, in tasks of about ``rows`` or as many as it has: a short table in a
+    file a shuffle partition is all file handling.  The session's cores stay busy."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most // rows)))
+
+
 class Scratch:
     """Tables of one computation in the shared folder, each deleted once nothing reads it any more."""
 
@@ -79,18 +101,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = checkpointed(edges)
-    mark = None
+    mark, most = None, edges.count()
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        # A large-star row is an edge's, and gives two rows at most.
+        edges = checkpointed(in_tasks_of(small.select("e.u", "e.v").where("u <> v").distinct(), 2 * most, EDGES))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
-        mark = tuple(now)
+        mark, most = tuple(now), now[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

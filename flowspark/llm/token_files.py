@@ -7,7 +7,7 @@ reader takes only metadata columns, or only the pages of some documents.
 
 Encoding is the library's, of whole texts.  White space never joins the word before it, so a text
 is cut before each run of it, and a piece that was met before is not encoded again; pieces are
-remembered up to a bound per worker.
+remembered up to a bound per worker, until it turns to other work (``common.kept_for``).
 
 Defined cases: null text is empty and holds the end id alone; null doc_ids come first; equal
 doc_ids are ordered by the text's hash, then exact repeats stand side by side, each with its own
@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import materialized
+from flowspark.llm.common import kept_for, materialized
 
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>"
 #: Pieces that a worker remembers, and documents of a batch; other pieces are encoded once per batch.
 REMEMBERED, DOCUMENTS = 1_000_000, 1024
+#: Pieces that the library encodes at once: its results are many times as large as the ids.
+AT_ONCE = 2048
 #: Cutting at blanks is exact where white space stands alone; else before each run of it.
 _RUNS = re.compile(r"\s\s|[\0\x1c-\x1f]")
 _ODD = re.compile("[\0\x1c-\x1f]")
 _PIECES = re.compile(r"\s*\S+|\s+")
-_encoders: dict = {}
 
 
 def pieces_of(text: str, added: re.Pattern | None = None) -> list[str]:
@@ -84,9 +85,13 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces and their numbers, without the offsets in the text."""
-        got = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in pieces], add_special_tokens=False)
-        lists = [e.ids for e in got]
-        return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(pieces), AT_ONCE):
+            got = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in pieces[k : k + AT_ONCE]], add_special_tokens=False)
+            lists = [e.ids for e in got]
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int32))
+            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with ``end_id`` after each text, and the number of each text's."""
@@ -111,9 +116,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept_for(("tokens", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

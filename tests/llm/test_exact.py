@@ -191,6 +191,30 @@ def test_copies_just_below_the_threshold_are_not_paired(spark, monkeypatch, size
     assert sum(made) <= 4 * size
 
 
+def test_short_tables_have_few_files(spark, monkeypatch):
+    """Without coalescing by the session, tables of few rows are not dealt over every shuffle partition."""
+    files, inner, cores = {}, common.Scratch.table, spark.sparkContext.defaultParallelism
+    held = {"spark.sql.shuffle.partitions": str(8 * cores), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+
+    def counted(self, df, name):
+        out = inner(self, df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "table", counted)
+    rows = [(i, " ".join(f"b{i // 3}.{k}" if k != i % 3 else f"n{i}" for k in range(60))) for i in range(60 * cores)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = shingle_sets.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    same(got, [(i, i - i % 3) for i, _ in rows])
+    assert max(files[f"shingle-{k}"] for k in ("pairs", "sets", "links")) <= cores
+
+
 def test_places_and_sketches_bound_the_difference(spark):
     """Where two sets meet first, the places, and everywhere the parities, are no more than the difference."""
     texts = _edited(7)

@@ -1,14 +1,17 @@
 """Token files, classifiers and the pipeline."""
 
+import gc
+import weakref
 import zlib
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.llm import queries, quality_net, token_files, toxicity_fm
+from flowspark.llm import queries, quality_net, shingle_sets, token_files, toxicity_fm
 from flowspark.llm.common import fresh_dir
 from flowspark.llm.toxicity_fm import Machine
 
@@ -31,6 +34,15 @@ def test_pieces_encode_as_the_whole(tokenizer):
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_pieces_are_dropped_when_a_worker_turns_to_other_work():
+    path = queries.tokenizer_path()
+    kept = weakref.ref(token_files.encoder(path))
+    assert token_files.encoder(path) is kept()  # from task to task
+    list(shingle_sets._sets(pa.array(["a b c"]), 5))
+    gc.collect()
+    assert kept() is None
+
+
 def test_token_files(spark, docs, doc_rows, no_docs, tokenizer):
     path = fresh_dir(spark, "test-tokens")
     got = token_files.token_table(docs, path, tokenizer=queries.tokenizer_path(), end_id=2).orderBy("start").collect()
