@@ -7,7 +7,8 @@ reader takes only metadata columns, or only the pages of some documents.
 
 Encoding is the library's, of whole texts.  White space never joins the word before it, so a text
 is cut before each run of it, and a piece that was met before is not encoded again; pieces are
-remembered up to a bound per worker, until it turns to other work (``common.kept_for``).
+remembered up to a bound per worker, until it turns to other work (``common.kept_for``).  Words that
+are new go to the library many to a text, as most of the time of a short text is its own result.
 
 Defined cases: null text is empty and holds the end id alone; null doc_ids come first; equal
 doc_ids are ordered by the text's hash, then exact repeats stand side by side, each with its own
@@ -18,24 +19,29 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain, islice
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import kept_for, materialized
 
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>"
-#: Pieces that a worker remembers, and documents of a batch; other pieces are encoded once per batch.
-REMEMBERED, DOCUMENTS = 1_000_000, 1024
-#: Pieces that the library encodes at once: its results are many times as large as the ids.
-AT_ONCE = 2048
+#: Pieces that a worker remembers, and bytes of text of a batch; other pieces are encoded once per batch.
+REMEMBERED, TEXT = 700_000, 4 << 20
+#: Pieces that the library encodes at once: its results are many times as large as the ids; pieces of one text.
+AT_ONCE, JOINED = 2048, 64
 #: Cutting at blanks is exact where white space stands alone; else before each run of it.
 _RUNS = re.compile(r"\s\s|[\0\x1c-\x1f]")
 _ODD = re.compile("[\0\x1c-\x1f]")
 _PIECES = re.compile(r"\s*\S+|\s+")
+#: The same as _RUNS for Arrow, whose classes are of ASCII.
+_ARROW_RUNS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|[\x{0}\x{1c}-\x{1f}]"
+#: Name of the end of a text; no other piece has it.
+_END = "\x1c"
 
 
 def pieces_of(text: str, added: re.Pattern | None = None) -> list[str]:
@@ -59,14 +65,6 @@ def pieces_of(text: str, added: re.Pattern | None = None) -> list[str]:
     return parts
 
 
-class _Numbers(dict):
-    """Numbers pieces as they come."""
-
-    def __missing__(self, piece):
-        self[piece] = number = len(self) + 1  # 0 is the end id
-        return number
-
-
 class Encoder:
     """Ids of texts; equal pieces are encoded once."""
 
@@ -77,42 +75,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, sorted(names, key=len, reverse=True)))) if names else None
-        self.numbers = _Numbers()
-        self.ids = np.zeros(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces and their numbers, without the offsets in the text."""
-        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for k in range(0, len(pieces), AT_ONCE):
-            got = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in pieces[k : k + AT_ONCE]], add_special_tokens=False)
-            lists = [e.ids for e in got]
-            ids.append(np.fromiter(chain.from_iterable(lists), np.int32))
-            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-        return np.concatenate(ids), np.concatenate(lengths)
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        names = [re.escape(t.content) for t in sorted(self.tokenizer.get_added_tokens_decoder().values(), key=lambda t: len(t.content), reverse=True)]
+        self.added = re.compile("|".join(names)) if names else None
+        self.odd = "|".join([_ARROW_RUNS, *names])
+        vocab = self.tokenizer.get_vocab()
+        self.after_blank = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.after_blank[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.numbers = {_END: 0}
+        self.known = pa.array([[0]], pa.list_(pa.int32()))  # the ids of each number; the first is the end's
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of the texts, without the offsets in them."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space at their ends, each after a blank, and their numbers.
+
+        They are encoded as texts of many words: a word begins where a token begins with a blank.
+        """
+        texts = [" " + " ".join(words[j : j + JOINED]) for j in range(0, len(words), JOINED)]
+        ids = np.fromiter(chain.from_iterable(self._ids(texts)), np.int32)
+        at = np.flatnonzero(self.after_blank[ids])
+        if len(at) != len(words) or self.added and any(map(self.added.search, texts)):
+            return self._apart([" " + w for w in words])
+        return ids, np.diff(at, append=len(ids))
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._ids(texts)
+        return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _encode(self, words: list[str], others: list[str]) -> pa.ListArray:
+        """Ids of each of the pieces."""
+        done = [self._words(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)]
+        done += [self._apart([p[1:] if p[:1] == "\0" else " " + p for p in others[k : k + AT_ONCE]]) for k in range(0, len(others), AT_ONCE)]
+        ends = np.cumsum(np.concatenate([[0], *(n for _, n in done)]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(i for i, _ in done)])))
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Pieces of all texts, each text with its end, and the number of each text's."""
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
+        marked = pc.binary_join_element_wise("\0", texts if not odd.any() else texts.filter(pa.array(~odd)), " " + _END, "")
+        parts = pc.split_pattern(marked, " ")
+        sizes, pieces = np.diff(np.asarray(parts.offsets)), parts.flatten()
+        if not odd.any():
+            return pieces.dictionary_encode(), sizes
+        others = [[*pieces_of(t, self.added), _END] for t in texts.filter(pa.array(odd)).to_pylist()]
+        sizes = np.concatenate([sizes, np.fromiter(map(len, others), np.int64)])
+        text = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        pieces = pa.concat_arrays([pieces, pa.array(chain.from_iterable(others), pieces.type)]).dictionary_encode()
+        order = np.argsort(np.repeat(text, sizes), kind="stable")
+        return pa.DictionaryArray.from_arrays(pieces.indices.take(pa.array(order)), pieces.dictionary), sizes[np.argsort(text)]
+
+    def encode(self, texts: pa.Array | list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with ``end_id`` after each text, and the number of each text's."""
-        numbers, before = self.numbers, len(self.numbers)
-        number = numbers.__getitem__
-        rows = [[*map(number, pieces_of(t, self.added)), 0] if t else [0] for t in texts]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        place = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
-        new = list(islice(reversed(numbers), len(numbers) - before))[::-1]
-        ids, lengths = self._encode(new) if new else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        flat = np.concatenate([np.array([end_id], np.int32), self.ids, ids])
-        ends = np.concatenate([[0, 1], 1 + self.ends[1:], 1 + self.ends[-1] + np.cumsum(lengths)])
-        if len(numbers) <= REMEMBERED:
-            self.ids, self.ends = flat[1:], ends[1:] - 1
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        pieces, sizes = self._pieces(texts)
+        numbers, names = self.numbers, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in names if p not in numbers]
+        words, others = [], []
+        for p in new:
+            (words if p and p[0] != "\0" and not p[0].isspace() and not p[-1].isspace() else others).append(p)
+        new = words + others
+        numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
+        place = np.fromiter(map(numbers.__getitem__, names), np.int32, len(names))[np.asarray(pieces.indices)]
+        known = pa.concat_arrays([self.known, self._encode(words, others)]) if new else self.known
+        if len(numbers) <= REMEMBERED and len(known.values) <= 8 * REMEMBERED:  # pieces may be long
+            self.known = known
         else:
             for p in new:
                 del numbers[p]
-        length = ends[place + 1] - ends[place]
-        upto = np.cumsum(length)
-        out = flat[np.repeat(ends[place] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        return out, np.bincount(np.repeat(np.arange(len(texts)), sizes), length, minlength=len(texts)).astype(np.int64)
+        found = known.take(pa.array(place))
+        ids, at = np.array(found.values), np.asarray(found.offsets)
+        last = np.cumsum(sizes)
+        ids[at[last] - 1] = end_id
+        return ids, np.diff(at[last], prepend=0).astype(np.int64)
 
 
 def encoder(path: str) -> Encoder:
@@ -124,9 +163,11 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, DOCUMENTS):
-                part = batch.slice(first, DOCUMENTS)
-                ids, sizes = encoder(tokenizer).encode(part.column("text").to_pylist(), end_id)
+            upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(upto // TEXT)) + 1).tolist(), batch.num_rows]
+            for first, end in pairwise(cuts):
+                part = batch.slice(first, end - first)
+                ids, sizes = encoder(tokenizer).encode(part.column("text"), end_id)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), lists], ["doc_id", "n_tokens", "tokens"])
 

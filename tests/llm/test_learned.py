@@ -34,6 +34,57 @@ def test_pieces_encode_as_the_whole(tokenizer):
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_many_to_a_text(tokenizer):
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    counting = encoder.tokenizer = Counting(encoder.tokenizer)
+    words = [f"wörd{k}x's,\nNo" for k in range(3000)]
+    texts = ["a " + " ".join(words[:2000]), "b  c", None, "a " + " ".join(words[1000:]) + " ", "", "\u3000\u3000a b"]
+    ids, sizes = encoder.encode(texts, 2)
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert counting.texts < 100
+    again = counting.texts
+    assert encoder.encode(texts, 2)[0].tolist() == ids.tolist() and counting.texts == again
+    assert encoder.encode([], 2)[0].tolist() == []
+
+
+def test_odd_texts_keep_their_places(tokenizer):
+    spaces = [chr(k) for k in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0xFEFF, 0]]
+    texts = [f"{a}{b}x {a}y{b} z{b}{a}" for a in spaces for b in ("", *spaces)]
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    ids, sizes = encoder.encode(texts, 2)
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+@pytest.mark.parametrize("blanks", [True, False])
+def test_words_of_other_tokenizers(tmp_path, blanks):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    if blanks:  # words that stand side by side in a text of words must not become an added token
+        other = Tokenizer.from_file(queries.tokenizer_path())
+        other.add_tokens(["x y", "-#\n&", "a b.c"])
+    else:  # no token holds the blank before it
+        other = Tokenizer(models.WordLevel({"x": 0, "y": 1, "q": 2, "?": 3}, unk_token="?"))
+        other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(path := str(tmp_path / "tokenizer.json"))
+    texts = ["q x", "q y", "y q", "x y", "q x yq", "a a b.c", "a a bxc", "q -#\n& q", "q x q y", "q  y"]
+    ids, sizes = token_files.Encoder(path).encode(texts, 9)
+    want = [[*other.encode(t, add_special_tokens=False).ids, 9] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 def test_pieces_are_dropped_when_a_worker_turns_to_other_work():
     path = queries.tokenizer_path()
     kept = weakref.ref(token_files.encoder(path))
