@@ -22,9 +22,12 @@ FAR_FUTURE = 4_102_444_800_000_000
 DELAY, LANDINGS = 6 * v.HOUR, 4
 
 
-def _event_stream(spark, sf):
-    schema = v.table(spark, sf, "events").schema
-    return source.stream_packets(spark, sf, schema, glob="events.parquet")
+def _table_stream(spark, sf, name):
+    """A supplied table as a stream, be it one file or a folder of files.
+
+    The braces name just this path; without a pattern, a stream takes its path for a folder.
+    """
+    return source.stream_packets(spark, f"{sf}/{{{name}.parquet}}", v.table(spark, sf, name).schema)
 
 
 def _landed(spark, frame, name):
@@ -61,7 +64,7 @@ def _flow_stream(spark, sf, closed=True):
 
 def stream_noise_filter(spark, sf):
     """Streaming scan, packet view and filter; the kept packets land in a table."""
-    packets = v.packets_of(_event_stream(spark, sf))
+    packets = v.packets_of(_table_stream(spark, sf, "events"))
     kept = source.drain(filters.prune_background(packets).select("seq", "protocol", "dst_port"), "kept")
     return kept.groupBy("protocol", "dst_port").agg(F.count(F.lit(1)).alias("packets"))
 
@@ -149,8 +152,7 @@ def stream_block_register(spark, sf):
 
 def stream_ledger(spark, sf):
     """Document digests committed by a stream, then verified block by block."""
-    schema = v.table(spark, sf, "documents").schema
-    docs = source.stream_packets(spark, sf, schema, glob="documents.parquet")
+    docs = _table_stream(spark, sf, "documents")
     leaves = docs.select("doc_id", F.sha2("text", 256).alias("leaf"), (F.col("n_chars") * 1000000).alias("ts_us"))
     path = fresh_dir(spark, "ledger")
     source.deliver(leaves, sl.ledger_sink(path, ["doc_id"]), f"{path}-progress").awaitTermination()

@@ -198,3 +198,14 @@ def test_late_rows(spark, packets):
     on_time, late = source.split_late(packets((0, {}), (20, {}), (16, {}), (14, {}), (21, {})), 5 * S)
     assert [(r.seq, r.lateness_us) for r in late.collect()] == [(3, S)] and on_time.count() == 4
     assert PACKET.names == on_time.columns
+
+
+def test_streamed_tables_may_be_folders(spark, tmp_path):
+    from flowspark.plans import streams
+
+    supplied = "/root/testdata/sf0.001"
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{supplied}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in (streams.stream_ledger, streams.stream_noise_filter):
+        one, many = (sorted(map(tuple, query(spark, d).collect()), key=repr) for d in (supplied, str(tmp_path)))
+        assert one and one == many
