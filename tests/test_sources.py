@@ -305,3 +305,25 @@ def test_surplus_rows_are_unpaired(spark):
     left = spark.createDataFrame([("f", i, i) for i in range(5)], "file string, at int, x int")
     got = compare_exports(left, left.where("at < 3"), ["file"], ["at"]).first()
     assert (got.checked_rows, got.matching_rows, got.unpaired_rows) == (3, 3, 2)
+
+
+def test_capture_scan_adds_up_stamps_beyond_a_bigint(spark, tmp_path):
+    from flowspark.plans import files
+    from flowspark.plans import views as v
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    late = {"event_id": F.col("id"), "user_id": F.col("id") % 40, "ts": F.timestamp_micros(F.lit(4_100_000_000_000_000) + F.col("id")), "event_type": F.lit("click"), "value": F.lit(1.5), "props": F.lit('{"k": 1}')}
+    spark.range(4000).select([late[f.name].cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for p in v.packets_v(spark, str(tmp_path)).collect():
+        want.setdefault((p.protocol, p.dst_port, p.tcp_flags), []).append(p.ts_us)
+    got = {(r.kind, r.dst_port, r.tcp_flags): (r.packets, r.times) for r in files.capture_scan(spark, str(tmp_path)).where("packets > 0").collect()}
+    assert max(map(sum, want.values())) >= 1 << 63
+    assert got == {k: (len(t), (sum(t) + (1 << 63)) % (1 << 64) - (1 << 63)) for k, t in want.items()}
+
+
+def test_control_sum_is_exact_within_a_bigint(spark):
+    from flowspark.plans import files
+
+    rows = spark.createDataFrame([("a", -(1 << 63)), ("b", (1 << 63) - 1), ("c", 5), ("c", -7), ("d", (1 << 63) - 1), ("d", 1), ("e", None)], "k string, x bigint")
+    assert {r.k: r.x for r in rows.groupBy("k").agg(files._control_sum("x").alias("x")).collect()} == {"a": -(1 << 63), "b": (1 << 63) - 1, "c": -2, "d": -(1 << 63), "e": None}
