@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,8 @@ from flowspark.schemas import STAGES
 from flowspark.session import checkpointed, materialized
 
 HIDDEN = 64
+#: Rows whose hidden units stay in a core's cache; rows of a packed binary, so that a batch of binaries stays small.
+CACHED, PACKED = 512, 64
 
 
 @dataclass
@@ -95,55 +99,107 @@ class HiddenLayer:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Of the weighted logistic loss summed over the rows, with the sum of weights at its end."""
-        unit = np.tanh(x @ self.w1 + self.b1)
-        error = weight * (1 / (1 + np.exp(-np.clip(unit @ self.w2 + self.b2, -50, 50))) - y)
-        back = error[:, None] * self.w2 * (1 - unit * unit)
-        return np.concatenate([(x.T @ back).ravel(), back.sum(0), unit.T @ error, [error.sum(), weight.sum()]])
+        into = np.vstack([self.w1, self.b1])
+        inner, outer, sums = np.zeros(into.shape), np.zeros(len(self.w2)), np.zeros(2)
+        ones, units = np.ones((CACHED, len(into))), np.empty((CACHED, len(self.w2)))
+        for at in range(0, len(y), CACHED):
+            some = slice(at, min(at + CACHED, len(y)))
+            inputs, unit = ones[: some.stop - at], units[: some.stop - at]
+            inputs[:, :-1] = x[some]
+            np.tanh(np.matmul(inputs, into, out=unit), out=unit)
+            error = weight[some] * (1 / (1 + np.exp(-np.clip(unit @ self.w2 + self.b2, -50, 50))) - y[some])
+            outer += error @ unit
+            np.subtract(1, np.multiply(unit, unit, out=unit), out=unit)
+            inner += (inputs * error[:, None]).T @ unit
+            sums += error.sum(), weight[some].sum()
+        return np.concatenate([(inner * self.w2).ravel(), outer, sums])
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
 
-def fit_hidden(train: DataFrame, features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42) -> Fitted:
-    """One hidden layer with row weights, by Adam on the whole weighted gradient.
+def _packed(arm: int):
+    """Rows (x, y, weight) as binaries of ``PACKED`` rows each: their numbers one row after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = np.column_stack([_matrix(batch.column("x")), np.asarray(batch.column("y")), np.asarray(batch.column("weight"))]).astype(np.float64)
+            ends = np.minimum(np.arange(0, len(numbers) + PACKED, PACKED), len(numbers)) * numbers.strides[0]
+            rows = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(numbers.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), arm, np.int32)), rows], ["arm", "rows"])
+
+    return run
+
+
+def _unpacked(rows: pa.Array, width: int) -> np.ndarray:
+    """The numbers of packed rows, which lie one after the other whatever the binaries they are cut into."""
+    _, ends, data = rows.buffers()
+    ends = np.frombuffer(ends, np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(-1, width)
+
+
+def fit_hidden_arms(
+    arms: dict[str, DataFrame], features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42
+) -> dict[str, Fitted]:
+    """Per arm one hidden layer with row weights, by Adam on the whole weighted gradient of its own rows.
 
-    Every epoch is one pass over the rows: tasks sum the gradients of their own rows, the partial sums are
-    added up by position, and as many numbers as the layer has reach the driver.
+    Every epoch is one pass over the rows of all arms, which are scaled and packed once: tasks sum the
+    gradients of their own rows, the partial sums are added up by position, and as many numbers as the
+    layers have reach the driver.
     """
-    scaler = _fit_scaler(train, features)
-    rows = materialized(scaled(train, scaler, features).select("x", F.col("label").cast("double").alias("y"), F.col("weight").cast("double").alias("weight")), "hidden-rows")
-    layer = HiddenLayer.fresh(len(features), hidden, seed)
-    first, second = np.zeros(len(layer.flat())), np.zeros(len(layer.flat()))
+    scalers = {name: _fit_scaler(train, features) for name, train in arms.items()}
+    parts = []
+    for arm, (name, train) in enumerate(arms.items()):
+        rows = scaled(train, scalers[name], features).select("x", F.col("label").cast("double").alias("y"), F.col("weight").cast("double").alias("weight"))
+        parts.append(rows.mapInArrow(_packed(arm), "arm int, rows binary"))
+    packed = materialized(reduce(DataFrame.unionByName, parts), "hidden-rows")
+    layers = [HiddenLayer.fresh(len(features), hidden, seed) for _ in arms]
+    size, width = len(layers[0].flat()), len(features) + 2
+    first, second = np.zeros((len(arms), size)), np.zeros((len(arms), size))
     for epoch in range(1, epochs + 1):
 
-        def partial(batches, layer=layer):
-            total = np.zeros(len(layer.flat()) + 1)
+        def partial(batches, layers=tuple(layers)):
+            total = np.zeros((len(layers), size + 1))
             for batch in batches:
-                total += layer.gradient(_matrix(batch.column("x")), np.asarray(batch.column("y")), np.asarray(batch.column("weight")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "g"])
-
-        summed = rows.mapInArrow(partial, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toArrow().sort_by("k").column("g").to_numpy()
-        g = summed[:-1] / max(summed[-1], 1e-12) + decay * layer.flat()
+                arm = np.asarray(batch.column("arm"))
+                cuts = [0, *(np.flatnonzero(np.diff(arm)) + 1).tolist(), len(arm)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if a < b:
+                        numbers = _unpacked(batch.column("rows").slice(a, b - a), width)
+                        total[arm[a]] += layers[arm[a]].gradient(numbers[:, :-2], numbers[:, -2], numbers[:, -1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "g"])
+
+        sums = packed.mapInArrow(partial, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toArrow()
+        summed = np.zeros((len(arms), size + 1))
+        summed.ravel()[sums.column("k").to_numpy()] = sums.column("g").to_numpy()
+        flat = np.stack([layer.flat() for layer in layers])
+        g = summed[:, :-1] / np.maximum(summed[:, -1:], 1e-12) + decay * flat
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-        layer = layer.moved(layer.flat() - step)
-    return Fitted(scaler, layer)
+        layers = [layer.moved(moved) for layer, moved in zip(layers, flat - step)]
+    return {name: Fitted(scalers[name], layer) for name, layer in zip(arms, layers)}
+
+
+def fit_hidden(train: DataFrame, features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42) -> Fitted:
+    """:func:`fit_hidden_arms` of one arm."""
+    return fit_hidden_arms({"only": train}, features, hidden, epochs, rate, decay, seed)["only"]
 
 
 def score(df: DataFrame, fitted: Fitted, features: list[str]) -> DataFrame:
     """Add the attack probability ``p``."""
-    rows = scaled(df, fitted.scaler, features)
     if not isinstance(fitted.model, HiddenLayer):
-        out = fitted.model.transform(rows.withColumn("vector", array_to_vector("x")))
+        out = fitted.model.transform(scaled(df, fitted.scaler, features).withColumn("vector", array_to_vector("x")))
         return out.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
     layer = fitted.model
 
     @F.pandas_udf("double")
-    def probability(x: pd.Series) -> pd.Series:
-        return pd.Series(layer.probability(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
+    def probability(*x: pd.Series) -> pd.Series:
+        return pd.Series(layer.probability(np.column_stack(x)), dtype="float64")
 
-    return rows.select(*df.columns, probability("x").alias("p"))
+    return prepare.apply_scaler(df, fitted.scaler, features).select(*df.columns, probability(*[f"scaled_{c}" for c in features]).alias("p"))
 
 
 def score_stage(df: DataFrame, fitted: Fitted, features: list[str]) -> DataFrame:
@@ -165,7 +221,9 @@ def compare_arms(arms: dict[str, DataFrame], threshold: float = 0.5, test_split:
         rows = rows.unionByName(part)
     guarded = rows.where(F.when(F.col("split") == test_split, F.raise_error(F.lit("test rows in a comparison")).cast("boolean")).otherwise(True))
     both = F.explode(F.array(F.col("capture").cast("string"), F.lit("all")))
-    tagged = guarded.select("arm", both.alias("scope"), "label", "p")
+    # The reports go over the rows several times; they are scored once.
+    scored = materialized(guarded.select("arm", F.col("capture").cast("string").alias("capture"), "label", "p"), "scored-arms")
+    tagged = scored.select("arm", both.alias("scope"), "label", "p")
     counts = evaluate.binary_metrics(tagged, threshold, ["arm", "scope"])
     return counts.join(evaluate.rank_metrics(tagged, ["arm", "scope"]).drop("positives", "negatives"), ["arm", "scope"])
 

@@ -58,7 +58,8 @@ def controlled_comparison(spark, sf):
         "two_datasets": learn.with_weights(train),
         "family_weights": learn.with_weights(train, "family"),
     }
-    return learn.compare_arms({name: learn.score(held, learn.fit_hidden(part, FEATURES), FEATURES) for name, part in arms.items()})
+    fitted = learn.fit_hidden_arms(arms, FEATURES)
+    return learn.compare_arms({name: learn.score(held, model, FEATURES) for name, model in fitted.items()})
 
 
 def holdout_modes(spark, sf):

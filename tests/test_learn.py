@@ -68,3 +68,33 @@ def test_arms_refuse_test_rows(rows):
     held = rows.withColumn("split", F.when(F.col("id") == 3, "test").otherwise("validation")).withColumns({"capture": F.lit(1), "p": F.lit(0.5)})
     with pytest.raises(Exception, match="test rows"):
         learn.compare_arms({"one": held}).collect()
+
+
+def test_arms_fitted_together_are_those_fitted_alone(rows):
+    """Of rows that fill neither a packed binary nor a cached block, in batches that hold several arms."""
+    arms = {"few": learn.with_weights(rows.where("id < 70")), "all": learn.with_weights(rows), "families": learn.with_weights(rows, "family")}
+    together = learn.fit_hidden_arms(arms, FEATURES, hidden=5, epochs=4)
+    for name, part in arms.items():
+        alone = learn.fit_hidden(part, FEATURES, hidden=5, epochs=4)
+        assert together[name].model.flat() == pytest.approx(alone.model.flat(), rel=1e-9, abs=1e-12)
+        assert together[name].scaler.first() == pytest.approx(alone.scaler.first(), rel=1e-12)
+
+
+@pytest.mark.parametrize("count", [1, 63, 64, 65, 513, 1100])
+def test_gradient_by_blocks_of_packed_rows(count):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(count)
+    x, y, w = rng.normal(size=(count, 3)), rng.integers(0, 2, count).astype(float), rng.uniform(0.5, 2, count)
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y), pa.array(w)], ["x", "y", "weight"])
+    (packed,) = learn._packed(2)([batch])
+    assert packed.column("arm").to_pylist() == [2] * -(-count // learn.PACKED)
+    numbers = learn._unpacked(packed.column("rows").slice(0), 5)
+    assert (numbers == np.column_stack([x, y, w])).all()
+    assert (learn._unpacked(packed.column("rows").slice(1), 5) == numbers[learn.PACKED :]).all()
+    layer = learn.HiddenLayer.fresh(3, 7, 0)
+    u = np.tanh(x @ layer.w1 + layer.b1)
+    e = w * (1 / (1 + np.exp(-(u @ layer.w2 + layer.b2))) - y)
+    back = e[:, None] * layer.w2 * (1 - u * u)
+    want = np.concatenate([(x.T @ back).ravel(), back.sum(0), u.T @ e, [e.sum(), w.sum()]])
+    assert layer.gradient(numbers[:, :3], numbers[:, 3], numbers[:, 4]) == pytest.approx(want, rel=1e-9, abs=1e-11)
