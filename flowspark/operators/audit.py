@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import is_close
-from flowspark.operators.ordered import ROWS_PER_TASK, ordered
+from flowspark.operators.ordered import ROWS_PER_TASK, ordered, positions
 
 # Tolerances of the algebra checks.
 RTOL = ATOL = 0.01
@@ -91,8 +91,7 @@ def compare_exports(
     common = [c for c in left.columns if c in right.columns and c not in (*keys, *order)]
 
     def placed(df: DataFrame, side: str) -> DataFrame:
-        rows = ordered(df.select(*keys, *order, *common), keys, order, limit)
-        rows = rows.running(_pos=("sum", F.lit(1).cast("bigint"))).done()
+        rows = positions(df.select(*keys, *order, *common), keys, order, common, limit)
         rows = rows if n is None else rows.where(F.col("_pos") <= n)
         return rows.select(*keys, "_pos", F.struct(*common).alias(side))
 

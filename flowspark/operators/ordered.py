@@ -15,9 +15,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.session import checkpointed
+from flowspark.session import checkpointed, materialized, passing_shuffles
 
 ROWS_PER_TASK = 4_000_000
+#: Rows of a table of groups that may be broadcast.
+GROUPS = 100_000
 SLICE = "_slice"
 
 
@@ -155,3 +157,32 @@ def ordered(
     wanted = max(math.ceil(total / limit) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = df.repartitionByRange(wanted, *keys, *order).withColumn(SLICE, F.spark_partition_id())
     return Ordered(checkpointed(placed), keys, order, True)
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], values: list[str], limit: int = ROWS_PER_TASK) -> DataFrame:
+    """``keys``, ``_pos`` (1, 2, ... in ascending ``order`` inside each key) and ``values``.
+
+    Beyond the limit the rows are sorted by one range exchange and written without their order, each with its
+    slice and place in it; what earlier slices hold of its key is added when they are read again.  So the order,
+    often the wider part, is shuffled once and not kept.
+    """
+    largest, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if not largest or largest <= limit:
+        rows = Ordered(df, keys, order, False).running(_pos=("sum", F.lit(1).cast("bigint"))).done()
+        return rows.select(*keys, "_pos", *values)
+    spark = df.sparkSession
+    wanted = max(math.ceil(total / limit) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.repartitionByRange(wanted, *keys, *order).sortWithinPartitions(*keys, *order)
+    with passing_shuffles(spark):
+        rows = materialized(placed.select(*keys, *values, F.monotonically_increasing_id().alias("_at")), "placed")
+    rows = rows.withColumn(SLICE, F.shiftright("_at", 33))
+    groups = rows.groupBy(SLICE, *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    shifts = materialized(groups.select(F.col(SLICE).alias("_s"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], shift.alias("_shift")), "shifts")
+    match = F.col(SLICE) == F.col("_s")
+    for i, key in enumerate(keys):
+        match = match & F.col(key).eqNullSafe(F.col(f"_k{i}"))
+    # A row per slice and one more per key; a broadcast for as long as it is short.
+    shifts = F.broadcast(shifts) if shifts.limit(GROUPS + 1).count() <= GROUPS else shifts
+    return rows.join(shifts, match).select(*keys, (F.col("_at") + F.col("_shift")).alias("_pos"), *values)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowspark.operators.ordered import ordered
+from flowspark.operators.ordered import ordered, positions
 
 
 def _brute(rows):
@@ -55,3 +55,16 @@ def test_without_keys(spark):
     for i in range(100):
         total += i % 4
         assert got[i] == total
+
+
+@pytest.mark.parametrize("limit", [5, 10_000])
+def test_positions_inside_keys(spark, limit):
+    rng = random.Random(3)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}", rng.random(), "wide" * 9, i) for i in range(300)]
+    got = positions(spark.createDataFrame(rows, "k string, t double, wide string, v int"), ["k"], ["t", "wide"], ["v"], limit)
+    assert got.columns == ["k", "_pos", "v"]
+    place, want = {}, set()
+    for k, _, _, v in sorted(rows, key=lambda r: r[1]):
+        place[k] = place.get(k, 0) + 1
+        want.add((k, place[k], v))
+    assert set(map(tuple, got.collect())) == want and got.count() == len(rows)
