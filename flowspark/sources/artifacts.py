@@ -2,17 +2,97 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.operators.ordered import ordered
 
+#: The suffixes with the most bytes, whose files are read as streams, and what such a suffix looks like.
+SUFFIXES, SUFFIX = 64, r"\.[A-Za-z0-9_-]+$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
+def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each file from its lines, which come one after another.
+
+    The reader drops a byte order mark, and does not tell whether the last line ends in a line feed; the
+    file's size tells both.
+    """
+    path, size, read, hashes = None, 0, 0, ()
+
+    def finished() -> pa.RecordBatch:
+        missing = size - read
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{path} has {size} bytes, {read} were read")
+        found = hashes[missing >= 3]
+        found.update(b"\n" * (missing % 3))
+        return pa.RecordBatch.from_pydict({"_file": [path], "digest": [found.hexdigest()]})
+
+    for batch in batches:
+        runs, at = pc.run_end_encode(batch.column("_file")), 0
+        for file, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            lines = batch.column("value").slice(at, end - at).to_pylist()
+            if file == path:
+                lines.insert(0, b"")
+            else:
+                if path is not None:
+                    yield finished()
+                path, size, read = file, batch.column("_size")[at].as_py(), 0
+                hashes = (hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK))
+            if batch.column("_part")[at].as_py() != size:
+                raise ValueError(f"{file} was split")
+            data = b"\n".join(lines)
+            read += len(data)
+            for known in hashes:
+                known.update(data)
+            at = end
+    if path is not None:
+        yield finished()
+
+
+def _streamed_digests(spark: SparkSession, pattern: str, suffix: str) -> DataFrame:
+    """``_file, digest`` of the matching files of a suffix: a task reads a file from its first line to its last.
+
+    Hadoop's codec that passes bytes through takes the suffix, so its files are neither split nor decompressed.
+    """
+    # Hadoop's shaded client has its own name of the second option.
+    options = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"}
+    options |= {f"{prefix}io.compress.passthrough.extension": suffix for prefix in ("", "org.apache.hadoop.shaded.")}
+    lines = spark.read.options(lineSep="\n", pathGlobFilter=f"*{suffix}", **options).text(pattern)
+    meta = {"_file": "file_path", "_size": "file_size", "_part": "file_block_length"}
+    columns = [F.col("value").cast("binary").alias("value"), *[F.col(f"_metadata.{m}").alias(n) for n, m in meta.items()]]
+    return lines.select(columns).mapInArrow(_hashed_lines, "_file string, digest string")
+
 
 def file_fingerprints(spark: SparkSession, pattern: str) -> DataFrame:
-    """SHA-256, size and modification time of every matching file."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("digest"))
+    """SHA-256, size and modification time of every matching file that is not empty.
+
+    Files are hashed as they are read, a batch of lines at a time; those without a suffix, or of the
+    rarer of very many suffixes, are taken whole.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length", "modificationTime", F.col("_metadata.file_path").alias("_file"))
+    named = files.withColumn("_suffix", F.regexp_extract("path", SUFFIX, 0))
+    sizes = named.groupBy("_suffix").agg(F.sum("length").alias("_bytes")).orderBy(F.desc("_bytes"), "_suffix").limit(SUFFIXES + 1).collect()
+    streamed = [r["_suffix"] for r in sizes if r["_suffix"]][:SUFFIXES]
+    rest = named.where(~F.col("_suffix").isin(streamed)).select("path").collect()  # the session's own list of files has them, too
+    parts = [_streamed_digests(spark, pattern, suffix) for suffix in streamed]
+    if rest:
+        whole = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in rest])
+        parts.append(whole.select(F.col("_metadata.file_path").alias("_file"), F.sha2("content", 256).alias("digest")))
+    if not parts:
+        return files.select("path", "length", "modificationTime", F.lit(None).cast("string").alias("digest"))
+    # A file of a byte order mark alone has no line.
+    bare = F.when(F.col("length") == 3, F.sha2(F.lit(BYTE_ORDER_MARK), 256))
+    digest = F.coalesce("digest", bare, F.raise_error(F.concat(F.lit("no digest of "), "path")).cast("string"))
+    return files.join(reduce(DataFrame.unionByName, parts), "_file", "left").select("path", "length", "modificationTime", digest.alias("digest"))
 
 
 def duplicate_files(fingerprints: DataFrame) -> DataFrame:

@@ -340,3 +340,40 @@ def test_exports_of_hot_files_are_compared_without_their_order(spark):
     assert sum(r.unpaired_rows for r in cut.collect()) == 1 and {r.checked_rows for r in first.collect()} == {30}
     # Rows were numbered while they were sorted: no exchange of their order for a window.
     assert "Window" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_are_of_the_bytes(spark, tmp_path):
+    import gzip
+    import hashlib
+    import os
+
+    mark, noise = b"\xef\xbb\xbf", random.Random(5).randbytes(300_000)
+    made = {
+        "mark.json": mark, "feed.json": b"\n", "feeds.json": b"\n\n\n", "open.json": b"a\nb", "closed.json": b"a\nb\n",
+        "marked.json": mark + b"a\nb", "marked_closed.json": mark + b"a\r\n\r\n", "mark_feed.json": mark + b"\n", "noise.json": noise, "noise.bin": noise[:-7] + mark + b"\n",
+        "packed.gz": gzip.compress(noise), "no_gzip.gz": b"plain\n", "inner.gz.json": b"\xff\xfe\x00\n\x00", "no suffix {a}": noise[:99], "odd.su ffix": b"x\n", "with space%20.json": b"y",
+        "lines.json": b"".join(b"%d\n" % i for i in range(30_000)),
+    }
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    rows = artifacts.file_fingerprints(spark, str(tmp_path)).collect()
+    got = {os.path.basename(r.path): (r.length, r.digest) for r in rows}
+    assert set(got) == set(made) and len(rows) == len(made)
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in made.items()}
+    assert all(r.modificationTime is not None for r in rows)
+
+
+def test_fingerprints_do_not_hold_a_file(spark, tmp_path):
+    """A file longer than a split stays in one task, and its content in no plan."""
+    import hashlib
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        data = b"".join(b"%d some line\n" % i for i in range(50_000))
+        (tmp_path / "long.json").write_bytes(data)
+        prints = artifacts.file_fingerprints(spark, str(tmp_path))
+        assert prints.first().digest == hashlib.sha256(data).hexdigest()
+        assert "content" not in prints._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
