@@ -43,13 +43,16 @@ def _fit_scaler(train: DataFrame, features: list[str]) -> DataFrame:
 
 
 def with_weights(train: DataFrame, family: str | None = None) -> DataFrame:
-    """Add ``weight``: the capped positive weight, times the family weight if asked for."""
-    positive = F.broadcast(prepare.binary_weight(train).select("positive_weight"))  # one row
+    """Add ``weight``: the capped positive weight, times the family weight if asked for.
+
+    The weights are counted once, however often the rows are read; as written tables they have a known size.
+    """
+    positive = F.broadcast(materialized(prepare.binary_weight(train).select("positive_weight"), "positive-weight"))  # one row
     rows = train.crossJoin(positive).withColumn("weight", F.when(F.col("label") == 1, F.col("positive_weight")).otherwise(F.lit(1.0)))
     rows = rows.drop("positive_weight")
     if family is None:
         return rows
-    per_family = prepare.family_weights(train, family).select(F.col("family").alias(family), F.col("weight").alias("_family"))
+    per_family = materialized(prepare.family_weights(train, family).select(F.col("family").alias(family), F.col("weight").alias("_family")), "family-weights")
     return rows.join(per_family, family).withColumn("weight", F.col("weight") * F.col("_family")).drop("_family")
 
 
