@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators import evaluate, prepare
@@ -20,7 +19,7 @@ from flowspark.session import checkpointed, materialized
 
 HIDDEN = 64
 #: Rows whose hidden units stay in a core's cache; rows of a packed binary, so that a batch of binaries stays small.
-CACHED, PACKED = 512, 64
+CACHED, PACKED = 1024, 64
 
 
 @dataclass
@@ -42,18 +41,26 @@ def _fit_scaler(train: DataFrame, features: list[str]) -> DataFrame:
     return checkpointed(prepare.fit_scaler(train.withColumn("split", F.lit("train")), features))
 
 
-def with_weights(train: DataFrame, family: str | None = None) -> DataFrame:
-    """Add ``weight``: the capped positive weight, times the family weight if asked for.
+def with_arm_weight(train: DataFrame, name: str, among: Column | None = None, family: str | None = None) -> DataFrame:
+    """Add ``name``: the capped positive weight, times the family weight if asked for, as counted ``among``
+    rows; NULL in other rows and in those without a family.
 
     The weights are counted once, however often the rows are read; as written tables they have a known size.
     """
-    positive = F.broadcast(materialized(prepare.binary_weight(train).select("positive_weight"), "positive-weight"))  # one row
-    rows = train.crossJoin(positive).withColumn("weight", F.when(F.col("label") == 1, F.col("positive_weight")).otherwise(F.lit(1.0)))
-    rows = rows.drop("positive_weight")
-    if family is None:
-        return rows
-    per_family = materialized(prepare.family_weights(train, family).select(F.col("family").alias(family), F.col("weight").alias("_family")), "family-weights")
-    return rows.join(per_family, family).withColumn("weight", F.col("weight") * F.col("_family")).drop("_family")
+    counted = train if among is None else train.where(among)
+    positive = F.broadcast(materialized(prepare.binary_weight(counted).select("positive_weight"), "positive-weight"))  # one row
+    weight = F.when(F.col("label") == 1, F.col("positive_weight")).otherwise(F.lit(1.0))
+    rows = train.crossJoin(positive)
+    if family is not None:
+        per_family = materialized(prepare.family_weights(counted, family).select(F.col("family").alias(family), F.col("weight").alias("_family")), "family-weights")
+        rows, weight = rows.join(per_family, family, "left"), weight * F.col("_family")
+    return rows.withColumn(name, weight if among is None else F.when(among, weight)).drop("positive_weight", "_family")
+
+
+def with_weights(train: DataFrame, family: str | None = None) -> DataFrame:
+    """Add ``weight``: the capped positive weight, times the family weight if asked for."""
+    rows = with_arm_weight(train, "weight", family=family)
+    return rows if family is None else rows.where("weight IS NOT NULL")
 
 
 def fit_logistic(train: DataFrame, features: list[str], iterations: int = 30) -> Fitted:
@@ -100,41 +107,38 @@ class HiddenLayer:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2, -50, 50)))
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Of the weighted logistic loss summed over the rows, with the sum of weights at its end."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, mean: np.ndarray | None = None, scale: np.ndarray | None = None) -> np.ndarray:
+        """Of the weighted logistic loss summed over the rows, with the sum of weights at its end; inputs are
+        scaled first if ``mean`` and ``scale`` are given."""
         into = np.vstack([self.w1, self.b1])
         inner, outer, sums = np.zeros(into.shape), np.zeros(len(self.w2)), np.zeros(2)
-        ones, units = np.ones((CACHED, len(into))), np.empty((CACHED, len(self.w2)))
+        units = np.empty((min(CACHED, len(y)), len(self.w2)))
         for at in range(0, len(y), CACHED):
-            some = slice(at, min(at + CACHED, len(y)))
-            inputs, unit = ones[: some.stop - at], units[: some.stop - at]
-            inputs[:, :-1] = x[some]
-            np.tanh(np.matmul(inputs, into, out=unit), out=unit)
+            some = slice(at, at + CACHED)
+            # One row an input: long inner loops.
+            inputs = np.ones((len(into), len(y[some])))
+            inputs[:-1] = x[some].T
+            if mean is not None:
+                inputs[:-1] = (inputs[:-1] - mean[:, None]) / scale[:, None]
+            unit = units[: inputs.shape[1]]
+            np.tanh(np.matmul(inputs.T, into, out=unit), out=unit)
             error = weight[some] * (1 / (1 + np.exp(-np.clip(unit @ self.w2 + self.b2, -50, 50))) - y[some])
             outer += error @ unit
             np.subtract(1, np.multiply(unit, unit, out=unit), out=unit)
-            inner += (inputs * error[:, None]).T @ unit
+            inner += (inputs * error) @ unit
             sums += error.sum(), weight[some].sum()
         return np.concatenate([(inner * self.w2).ravel(), outer, sums])
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    return np.asarray(lists.flatten()).reshape(len(lists), -1)
-
-
-def _packed(arm: int):
-    """Rows (x, y, weight) as binaries of ``PACKED`` rows each: their numbers one row after the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            numbers = np.column_stack([_matrix(batch.column("x")), np.asarray(batch.column("y")), np.asarray(batch.column("weight"))]).astype(np.float64)
-            ends = np.minimum(np.arange(0, len(numbers) + PACKED, PACKED), len(numbers)) * numbers.strides[0]
-            rows = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(numbers.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), arm, np.int32)), rows], ["arm", "rows"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doubles as binaries of ``PACKED`` rows each: their numbers one row after the other, NaN for NULL."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = np.column_stack([np.asarray(column, np.float64) for column in batch.columns])
+        ends = np.minimum(np.arange(0, len(numbers) + PACKED, PACKED), len(numbers)) * numbers.strides[0]
+        rows = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(numbers.tobytes())])
+        yield pa.RecordBatch.from_arrays([rows], ["rows"])
 
 
 def _unpacked(rows: pa.Array, width: int) -> np.ndarray:
@@ -145,50 +149,51 @@ def _unpacked(rows: pa.Array, width: int) -> np.ndarray:
 
 
 def fit_hidden_arms(
-    arms: dict[str, DataFrame], features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42
+    train: DataFrame, weights: dict[str, str], features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42
 ) -> dict[str, Fitted]:
-    """Per arm one hidden layer with row weights, by Adam on the whole weighted gradient of its own rows.
+    """Per arm one hidden layer by Adam on the whole weighted gradient of its own rows: those whose weight, the
+    column that ``weights`` names, is not NULL.
 
-    Every epoch is one pass over the rows of all arms, which are scaled and packed once: tasks sum the
-    gradients of their own rows, the partial sums are added up by position, and as many numbers as the
+    Every epoch is one pass for all arms over the logged features, which are packed once: tasks scale the rows of
+    each arm and sum their gradients, the partial sums are added up by position, and as many numbers as the
     layers have reach the driver.
     """
-    scalers = {name: _fit_scaler(train, features) for name, train in arms.items()}
-    parts = []
-    for arm, (name, train) in enumerate(arms.items()):
-        rows = scaled(train, scalers[name], features).select("x", F.col("label").cast("double").alias("y"), F.col("weight").cast("double").alias("weight"))
-        parts.append(rows.mapInArrow(_packed(arm), "arm int, rows binary"))
-    packed = materialized(reduce(DataFrame.unionByName, parts), "hidden-rows")
-    layers = [HiddenLayer.fresh(len(features), hidden, seed) for _ in arms]
-    size, width = len(layers[0].flat()), len(features) + 2
-    first, second = np.zeros((len(arms), size)), np.zeros((len(arms), size))
+    scalers = {arm: _fit_scaler(train.where(F.col(weight).isNotNull()), features) for arm, weight in weights.items()}
+    scales = [[np.array([row[f"{k}_{c}"] for c in features], np.float64) for k in ("mean", "scale")] for row in (scaler.first() for scaler in scalers.values())]
+    columns = [*[F.log1p(c) for c in features], "label", *weights.values()]
+    numbers = train.select([(F.col(c) if isinstance(c, str) else c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    packed = materialized(numbers.mapInArrow(_packed, "rows binary"), "hidden-rows")
+    layers = [HiddenLayer.fresh(len(features), hidden, seed) for _ in weights]
+    size, known, width = len(layers[0].flat()), len(features), len(columns)
+    first, second = np.zeros((len(layers), size)), np.zeros((len(layers), size))
     for epoch in range(1, epochs + 1):
 
         def partial(batches, layers=tuple(layers)):
             total = np.zeros((len(layers), size + 1))
             for batch in batches:
-                arm = np.asarray(batch.column("arm"))
-                cuts = [0, *(np.flatnonzero(np.diff(arm)) + 1).tolist(), len(arm)]
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    if a < b:
-                        numbers = _unpacked(batch.column("rows").slice(a, b - a), width)
-                        total[arm[a]] += layers[arm[a]].gradient(numbers[:, :-2], numbers[:, -2], numbers[:, -1])
+                every = _unpacked(batch.column("rows"), width)
+                for at in range(0, len(every), 16 * CACHED):
+                    some = every[at : at + 16 * CACHED]
+                    for arm, (layer, (mean, scale)) in enumerate(zip(layers, scales)):
+                        inside = ~np.isnan(some[:, known + 1 + arm])
+                        own = some if inside.all() else some[inside]
+                        total[arm] += layer.gradient(own[:, :known], own[:, known], own[:, known + 1 + arm], mean, scale)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "g"])
 
         sums = packed.mapInArrow(partial, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toArrow()
-        summed = np.zeros((len(arms), size + 1))
+        summed = np.zeros((len(layers), size + 1))
         summed.ravel()[sums.column("k").to_numpy()] = sums.column("g").to_numpy()
         flat = np.stack([layer.flat() for layer in layers])
         g = summed[:, :-1] / np.maximum(summed[:, -1:], 1e-12) + decay * flat
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
         layers = [layer.moved(moved) for layer, moved in zip(layers, flat - step)]
-    return {name: Fitted(scalers[name], layer) for name, layer in zip(arms, layers)}
+    return {arm: Fitted(scalers[arm], layer) for arm, layer in zip(weights, layers)}
 
 
 def fit_hidden(train: DataFrame, features: list[str], hidden: int = HIDDEN, epochs: int = 30, rate: float = 0.05, decay: float = 1e-4, seed: int = 42) -> Fitted:
-    """:func:`fit_hidden_arms` of one arm."""
-    return fit_hidden_arms({"only": train}, features, hidden, epochs, rate, decay, seed)["only"]
+    """:func:`fit_hidden_arms` of the rows with a ``weight``."""
+    return fit_hidden_arms(train, {"only": "weight"}, features, hidden, epochs, rate, decay, seed)["only"]
 
 
 def score(df: DataFrame, fitted: Fitted, features: list[str]) -> DataFrame:

@@ -53,12 +53,10 @@ def controlled_comparison(spark, sf):
     train, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
     train = train.withColumn("family", F.when(F.col("label") == 0, "benign").otherwise(F.col("family")))
     low, high = train.agg(F.min("capture"), F.max("capture")).first()
-    arms = {
-        "one_dataset": learn.with_weights(train.where(F.col("capture") <= (low + high) // 2)),
-        "two_datasets": learn.with_weights(train),
-        "family_weights": learn.with_weights(train, "family"),
-    }
-    fitted = learn.fit_hidden_arms(arms, FEATURES)
+    arms = {"one_dataset": dict(among=F.col("capture") <= (low + high) // 2), "two_datasets": {}, "family_weights": dict(family="family")}
+    for arm, how in arms.items():
+        train = learn.with_arm_weight(train, arm, **how)
+    fitted = learn.fit_hidden_arms(train, {arm: arm for arm in arms}, FEATURES)
     return learn.compare_arms({name: learn.score(held, model, FEATURES) for name, model in fitted.items()})
 
 

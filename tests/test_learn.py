@@ -71,13 +71,18 @@ def test_arms_refuse_test_rows(rows):
 
 
 def test_arms_fitted_together_are_those_fitted_alone(rows):
-    """Of rows that fill neither a packed binary nor a cached block, in batches that hold several arms."""
-    arms = {"few": learn.with_weights(rows.where("id < 70")), "all": learn.with_weights(rows), "families": learn.with_weights(rows, "family")}
-    together = learn.fit_hidden_arms(arms, FEATURES, hidden=5, epochs=4)
-    for name, part in arms.items():
-        alone = learn.fit_hidden(part, FEATURES, hidden=5, epochs=4)
-        assert together[name].model.flat() == pytest.approx(alone.model.flat(), rel=1e-9, abs=1e-12)
-        assert together[name].scaler.first() == pytest.approx(alone.scaler.first(), rel=1e-12)
+    """Of rows that fill neither a packed binary nor a cached block; a row without a family is no row of its arm."""
+    rows = rows.withColumn("family", F.when(F.col("id") != 9, F.col("family")))
+    few = F.col("id") < 70
+    shared = learn.with_arm_weight(learn.with_arm_weight(learn.with_arm_weight(rows, "few", few), "all"), "families", family="family")
+    assert shared.count() == 400
+    together = learn.fit_hidden_arms(shared, {"few": "few", "all": "all", "families": "families"}, FEATURES, hidden=5, epochs=4)
+    alone = {"few": learn.with_weights(rows.where(few)), "all": learn.with_weights(rows), "families": learn.with_weights(rows, "family")}
+    assert alone["families"].count() == 399
+    for name, part in alone.items():
+        fitted = learn.fit_hidden(part, FEATURES, hidden=5, epochs=4)
+        assert together[name].model.flat() == pytest.approx(fitted.model.flat(), rel=1e-9, abs=1e-12)
+        assert tuple(together[name].scaler.first()) == pytest.approx(tuple(fitted.scaler.first()), rel=1e-12)
 
 
 @pytest.mark.parametrize("count", [1, 63, 64, 65, 513, 1100])
@@ -86,10 +91,10 @@ def test_gradient_by_blocks_of_packed_rows(count):
 
     rng = np.random.default_rng(count)
     x, y, w = rng.normal(size=(count, 3)), rng.integers(0, 2, count).astype(float), rng.uniform(0.5, 2, count)
-    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y), pa.array(w)], ["x", "y", "weight"])
-    (packed,) = learn._packed(2)([batch])
-    assert packed.column("arm").to_pylist() == [2] * -(-count // learn.PACKED)
-    numbers = learn._unpacked(packed.column("rows").slice(0), 5)
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(x.T)), pa.array(y), pa.array(w)], list("abcyw"))
+    (packed,) = learn._packed([batch])
+    assert packed.num_rows == -(-count // learn.PACKED)
+    numbers = learn._unpacked(packed.column("rows"), 5)
     assert (numbers == np.column_stack([x, y, w])).all()
     assert (learn._unpacked(packed.column("rows").slice(1), 5) == numbers[learn.PACKED :]).all()
     layer = learn.HiddenLayer.fresh(3, 7, 0)
